@@ -98,6 +98,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", fp)
     many = kept.filter("copies > 1").select(F.xxhash64("doc_id", "fp").alias("__key"))
     out = docs.withColumn("__key", key).join(kept.select(F.xxhash64("doc_id", "fp").alias("__key")), "__key", "left_semi")
+    if many.isEmpty():
+        return out.select(*docs.columns)
     once = out.join(many, "__key", "left_anti")
     return once.unionByName(out.join(many, "__key", "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
 

@@ -25,11 +25,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,14 +169,33 @@ def _shared(found: DataFrame) -> DataFrame:
         if not len(first):
             return
         many = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), np.diff(np.append(first, len(h))))
-        h, doc = h[many], doc[many]
+        h, doc = h[many].astype(np.int32), doc[many]  # a filter only: half of the hash is enough
         for k in range(0, len(h), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 16)]), pa.array(doc[k : k + (1 << 16)])], ["h", "doc"])
 
-    return found.repartition("h").mapInArrow(work, "h long, doc long")
+    return found.repartition("h").mapInArrow(work, "h int, doc long")
 
 
-CONTEXT = "h long, doc long, fp long, start long, low int, context binary"
+#: Contexts travel in blocks, one for each batch of texts and each of BUCKETS shares of the hashes: columns one after another,
+#: compressed. Anchors lie close together, so that their contexts repeat each other's bytes.
+BUCKETS = 256
+BLOCK = "bucket int, block binary"
+WIDTHS = (np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
+
+
+def pack(columns: tuple[np.ndarray, ...], context: bytes) -> bytes:
+    """h, doc, fp, start, low and size of contexts, and their bytes, as one compressed block."""
+    raw = len(columns[0]).to_bytes(4, "little") + b"".join(c.astype(t).tobytes() for c, t in zip(columns, WIDTHS, strict=True)) + context
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack(block: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for t in WIDTHS:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out, raw[at:]
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -192,51 +211,74 @@ def _contexts(rows: DataFrame) -> DataFrame:
             lists = batch.column("hs")
             size = np.diff(lists.offsets.to_numpy())
             hs, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(texts)), size)
-            wanted = np.unique(hs ^ (owner * 0x5851F42D4C957F2D))
-            mine = h ^ (of * 0x5851F42D4C957F2D)  # a chance hit would only add a context that no other shares
+            wanted = np.unique(hs.astype(np.int64) & 0xFFFFFFFF | owner << 32)
+            mine = h & 0xFFFFFFFF | of << 32  # a chance hit only adds a context that no other shares
             at = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
             keep = np.flatnonzero(wanted[at] == mine) if len(wanted) else np.zeros(0, np.int64)
             of, a, h, first, last = of[keep], a[keep], h[keep], first[keep], last[keep]
             raw = data.tobytes()
-            for k in range(0, len(of), 1 << 15):
-                p = slice(k, k + (1 << 15))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[p]),
-                        pa.array(doc[of[p]]),
-                        pa.array(fp[of[p]]),
-                        pa.array(first[p] - begin[of[p]]),
-                        pa.array((LENGTH - SEED - (a[p] - first[p])).astype(np.int32)),
-                        pa.array([raw[x:y] for x, y in zip(first[p].tolist(), (last[p] + LENGTH).tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["h", "doc", "fp", "start", "low", "context"],
-                )
-
-    return rows.mapInArrow(work, CONTEXT)
+            bucket = h & (BUCKETS - 1)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            names, blocks = [], []
+            for k in range(BUCKETS):
+                p = order[edges[k] : edges[k + 1]]
+                if len(p):
+                    size = last[p] + LENGTH - first[p]
+                    columns = (h[p], doc[of[p]], fp[of[p]], first[p] - begin[of[p]], LENGTH - SEED - (a[p] - first[p]), size)
+                    names.append(k)
+                    blocks.append(pack(columns, b"".join(raw[x:y] for x, y in zip(first[p].tolist(), (last[p] + LENGTH).tolist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+    return rows.mapInArrow(work, BLOCK)
+
+
+def _by_string(blocks: DataFrame, often: list[int]) -> DataFrame:
+    """The contexts of the pieces often, as rows."""
+    wanted = np.array(sorted(often), np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                (h, doc, fp, start, _, size), raw = unpack(block)
+                end = np.cumsum(size.astype(np.int64))
+                p = np.flatnonzero(np.isin(h, wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(fp[p]), pa.array(start[p].astype(np.int64)), pa.array([raw[e - z : e] for e, z in zip(end[p].tolist(), size[p].tolist(), strict=True)], pa.binary())], ["doc", "fp", "start", "context"])
+
+    return blocks.mapInArrow(work, "doc long, fp long, start long, context binary")
 
 
 REMOVED = "doc long, fp long, start long, stop long"
 
 
-def _stretches(contexts: DataFrame) -> DataFrame:
-    """The stretches to remove. Each partition holds all contexts of its hs."""
+def _stretches(blocks: DataFrame, often: list[int]) -> DataFrame:
+    """The stretches to remove, but for the pieces often. Each partition holds all contexts of its buckets."""
     width = 2 * LENGTH - SEED
+    apart = np.array(sorted(often), np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        parts, bytes_of = [], []
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                columns, raw = unpack(block)
+                if len(apart) and (out := np.isin(columns[0], apart)).any():
+                    end = np.cumsum(columns[5].astype(np.int64))
+                    keep = np.flatnonzero(~out)
+                    raw = b"".join(raw[e - z : e] for e, z in zip(end[keep].tolist(), columns[5][keep].tolist(), strict=True))
+                    columns = [c[keep] for c in columns]
+                parts.append(columns)
+                bytes_of.append(raw)
+        if not sum(len(x[0]) for x in parts):
             return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        del batches
-        doc, fp, start, low = (table.column(c).to_numpy() for c in ("doc", "fp", "start", "low"))
-        context = table.column("context").combine_chunks()
-        context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
-        offset = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
-        data = np.frombuffer(context.buffers()[2], np.uint8)
-        size = np.diff(offset)
+        _, doc, fp, start, low, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        data = np.frombuffer(b"".join(bytes_of), np.uint8)
+        del parts, bytes_of
+        start, low, size = start.astype(np.int64), low.astype(np.int64), size.astype(np.int64)
         columns = np.zeros((len(doc), width), np.uint8)
-        flat = np.repeat(np.arange(len(doc)) * width + low - (offset[:-1] - offset[0]), size) + np.arange(int(size.sum()))
-        columns.ravel()[flat] = data[offset[0] : offset[-1]]
+        offset = np.cumsum(size) - size
+        flat = np.repeat(np.arange(len(doc)) * width + low - offset, size) + np.arange(int(size.sum()))
+        columns.ravel()[flat] = data
+        del flat, data
         out = repeated(columns, low, low + size - LENGTH, doc)
         del columns
         edge = np.diff(np.pad(out, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -248,11 +290,11 @@ def _stretches(contexts: DataFrame) -> DataFrame:
             p = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(x[p]) for x in (doc[row], fp[row], begin, stop)], ["doc", "fp", "start", "stop"])
 
-    return contexts.repartition("h").mapInArrow(work, REMOVED)
+    return blocks.repartition("bucket").mapInArrow(work, REMOVED)
 
 
 def _stretches_by_string(contexts: DataFrame) -> DataFrame:
-    """The same for contexts of pieces in very many documents: every string is a grouping key."""
+    """The same for contexts of pieces in very many documents, given as rows: every string is a grouping key."""
     n = F.octet_length("context") - LENGTH
     each = contexts.select("doc", "fp", "start", "context", F.explode(F.sequence(F.lit(0), n)).alias("i"))
     each = each.select("doc", "fp", (F.col("start") + F.col("i")).alias("start"), F.substring(F.col("context"), F.col("i") + 1, F.lit(LENGTH)).alias("string"))
@@ -289,20 +331,27 @@ def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, spans ([begin, end) of the removed runs, in bytes) and kept (the bytes that stay)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", _doc_key().alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    found = _anchored(rows.select("doc", "text"))
+    # a document whose whole text is that of a smaller doc_id goes whole, and adds nothing to what others lose
+    marks = rows.select("doc", F.sha2("text", 256).alias("sha"), "fp").distinct()
+    least = marks.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    copies = cut(join_bearing_hot(marks, cut(least), ["sha"]).filter("doc > least").select("doc", "fp"))
+    # every use of the texts has the same columns and the same key, so that they are shuffled once
+    gone = copies.groupBy("doc").agg(F.collect_set("fp").alias("gone"))
+    own = rows.join(gone.hint("merge"), "doc", "left").filter(~F.coalesce(F.array_contains("gone", F.col("fp")), F.lit(False))).select("doc_id", "doc", "fp", "text")
+    found = _anchored(own)
     # pieces in very many documents, by a sample of documents: known to be shared, and grouped by string later on
-    some = _anchored(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).select("doc", "text"))
+    some = _anchored(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
     often = [r.h for r in some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > many).orderBy(F.desc("n")).limit(4096).collect()]
     if often:
-        shared = _shared(found.filter(~F.col("h").isin(often))).unionByName(found.filter(F.col("h").isin(often)))
+        shared = _shared(found.filter(~F.col("h").isin(often))).unionByName(found.filter(F.col("h").isin(often)).select(F.col("h").bitwiseAND(0xFFFFFFFF).cast("long").alias("h"), "doc").select(F.when(F.col("h") > 0x7FFFFFFF, F.col("h") - (1 << 32)).otherwise(F.col("h")).cast("int").alias("h"), "doc"))
     else:
         shared = _shared(found)
     hs = shared.groupBy("doc").agg(F.collect_list("h").alias("hs"))
-    contexts = _contexts(rows.join(hs.hint("merge"), "doc").select("doc", "fp", "text", "hs"))
+    blocks = _contexts(own.join(hs.hint("merge"), "doc"))
+    cuts = _stretches(blocks, often)
     if often:
-        cuts = _stretches(contexts.filter(~F.col("h").isin(often))).unionByName(_stretches_by_string(contexts.filter(F.col("h").isin(often))))
-    else:
-        cuts = _stretches(contexts)
+        cuts = cuts.unionByName(_stretches_by_string(_by_string(blocks, often)))
+    cuts = cuts.unionByName(copies.join(rows.select("doc", "fp", F.octet_length("text").alias("n")), ["doc", "fp"]).filter(F.col("n") >= LENGTH).select("doc", "fp", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")).distinct())
     cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("doc", "fp", "start", "stop")).alias("cuts"))
     return _finished(rows.join(cuts.hint("merge"), "doc", "left").select("doc_id", "doc", "fp", "text", "cuts"))
 

@@ -12,19 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot
+from .common import cut, join_bearing_hot, join_salted
 
 
 def components(links: DataFrame) -> DataFrame:
     """item, root: of each item in links (a, b: longs), the smallest item of its component. Alternates large-star and
-    small-star steps until nothing changes; each is an aggregation and a join that bears hot items."""
+    small-star steps until every item but roots has one link, to a root; each step is an aggregation and a salted join."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        back = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        near = seen.unionByName(back) if large else seen.unionByName(back).filter("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
-        joined = join_bearing_hot(near, cut(least), ["u"])
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        near = both if large else both.filter("v < u")
+        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        joined = join_salted(near, least, "u", "v")
         if large:
             out = joined.filter("v > u and v != m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
@@ -32,43 +31,35 @@ def components(links: DataFrame) -> DataFrame:
         return out.distinct()
 
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
-    state = None
     while True:
-        if edges.isEmpty():
-            return edges.select(F.col("b").alias("item"), F.col("a").alias("root"))
-        edges = cut(star(cut(star(edges, True)), False))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        roles = edges.select(F.col("a").alias("v"), F.lit(0).alias("below")).unionByName(edges.select(F.col("b").alias("v"), F.lit(1).alias("below")))
+        roles = roles.groupBy("v").agg(F.min("below").alias("least"), F.max("below").alias("most"), F.sum("below").alias("n"))
+        if not roles.agg(F.count_if(F.expr("least != most or n > 1")).alias("n")).first().n:
             break
-        state = now
+        edges = cut(star(star(edges, True), False))
     return edges.select(F.col("b").alias("item"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("item"), F.col("a").alias("root")).distinct())
 
 
 def linked(held: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """held: key, item (longs). verify gets pairs (a, b), a being the leader of many, and returns those that are
     alike. Returns the links (a, b) and the components (item, root) of all items in links."""
-    many = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = cut(join_bearing_hot(held, cut(many), ["key"]).select("key", "item"))
-    spark, links, roots, tested = held.sparkSession, None, None, None
+    many = held.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("leader")).filter("n > 1")
+    held = cut(join_bearing_hot(held, cut(many), ["key"]))
+    links = roots = tested = None
     for k in range(rounds):
-        now = held.withColumn("root", F.col("item"))
-        if roots is not None:
-            now = cut(held.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item")))
-        order = F.col("item") if k == 0 else F.xxhash64(F.col("item"), F.col("key"), F.lit(k))
-        lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "item", "root")).alias("lead"), F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        lead = cut(lead.filter("r0 != r1").select("key", F.col("lead.item").alias("leader"), F.col("lead.root").alias("lead_root"), "n"))
-        pairs = join_bearing_hot(now, lead, ["key"]).filter("root != lead_root").select(F.col("leader").alias("a"), F.col("item").alias("b"), F.least("item", "leader").alias("lo"), F.greatest("item", "leader").alias("hi"))
-        pairs = pairs.dropDuplicates(["lo", "hi"])
+        if k == 0:
+            led = held.select("item", "leader").filter("item != leader")
+        else:
+            now = cut(held.drop("leader").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item")))
+            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("item"), F.col("key"), F.lit(k)).alias("o"), "item", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+            lead = lead.filter("r0 != r1").select("key", F.col("lead.item").alias("leader"), F.col("lead.root").alias("lead_root"))
+            led = join_salted(now, lead, "key", "item").filter("root != lead_root")
+        pairs = led.select(F.col("leader").alias("a"), F.col("item").alias("b"), F.least("item", "leader").alias("lo"), F.greatest("item", "leader").alias("hi")).dropDuplicates(["lo", "hi"])
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
-        found = cut(verify(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = found if links is None else cut(links.unionByName(found))
+        found = verify(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = cut(found if links is None else links.unionByName(found))
         roots = cut(components(links))
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-        roots = spark.createDataFrame([], "item long, root long")
     return links, roots

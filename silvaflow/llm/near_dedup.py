@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, slices
+from .common import cut, join_bearing_hot, join_salted, slices
 from .links import linked
 
 K, LIKE, SKETCHES, PICKED = 5, 0.8, 24, 2
@@ -198,9 +198,9 @@ def _verified(pairs: DataFrame, place: DataFrame, docs: DataFrame, like: float)
                 good.append(not first[k] and alike(kept, words, like))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / TOGETHER).cast("int")
-    members = join_bearing_hot(pairs, degree, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
+    members = join_salted(pairs, degree, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
     leaders = degree.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("first"), F.col("a").alias("item"))
     need = cut(members.unionByName(leaders).join(place, "item").select("rep", "a", "b", "salt", "first"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
@@ -220,15 +220,16 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         a = sizes.select(F.col("item").alias("a"), F.col("n_words").alias("n_a"))
         b = sizes.select(F.col("item").alias("b"), F.col("n_words").alias("n_b"))
-        near = cut(pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b")).select("a", "b"))
+        near = pairs.join(b, "b")
+        near = join_salted(near, a, "a", "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b")).select("a", "b")
         return _verified(near, sizes.select("item", "rep"), docs, like)
 
     links, roots = linked(held, verify)
     reps = reps.drop("keys").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     ends = links.select(F.col("a").alias("item")).union(links.select("b")).groupBy("item").agg(F.count("*").alias("n_links"))
     reps = cut(reps.join(ends, "item", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
-    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
-    known = cut(join_bearing_hot(reps.select("root", "fp", "n_links", F.col("n").alias("copies")), cut(least), ["root"]).select("fp", "n_links", "class_id", F.col("copies").alias("n")))
+    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
+    known = cut(join_salted(reps.select("root", "fp", "n_links", "n"), least, "root", "fp").select("fp", "n_links", "class_id", "n"))
     return join_bearing_hot(rows.select("doc_id", "fp"), known, ["fp"]).select("doc_id", "fp", "class_id", "n_links", F.equal_null("doc_id", "class_id").alias("kept"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, slices
+from .common import cut, join_bearing_hot, join_salted, slices
 from .links import linked
 from .near_dedup import SEEDS, TOGETHER, _mixed, words_of
 
@@ -137,9 +137,9 @@ def _verified(pairs: DataFrame, where: DataFrame, rows: DataFrame, like: float)
                 good.append(not first and jaccard(kept, own) >= like)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    degree = cut(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / TOGETHER).cast("int")
-    members = join_bearing_hot(pairs, degree, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
+    members = join_salted(pairs, degree, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
     leaders = degree.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("first"), F.col("a").alias("item"))
     needs = members.unionByName(leaders).join(where, "item").groupBy("doc", "fp").agg(F.collect_list(F.struct("a", "b", "salt", "first", "place")).alias("needs"))
     lines = rows.join(needs, ["doc", "fp"]).select("text", "needs").mapInArrow(pick, "a long, b long, salt int, first boolean, line string")
@@ -158,21 +158,18 @@ def repeated_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rows = _rows(docs)
     found = _paragraphs(rows, n, per)
     spot = F.struct("doc", "place", "fp")
-    items = cut(found.groupBy("item").agg(F.min(spot).alias("spot"), F.count("*").alias("n"), F.max(F.struct("n_words", "keys")).alias("one")).select("item", "spot", "n", F.col("one.n_words").alias("n_words"), F.col("one.keys").alias("keys")))
+    items = cut(found.groupBy("item").agg(F.min(spot).alias("spot"), F.count("*").alias("n"), F.max("keys").alias("keys")))
     held = items.select("item", F.explode(F.array_distinct("keys")).alias("key"))
     where = items.select("item", F.col("spot.doc").alias("doc"), F.col("spot.fp").alias("fp"), F.col("spot.place").alias("place"))
-    sizes = items.select("item", "n_words")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sizes.select(F.col("item").alias(c), F.col("n_words").alias(f"n_{c}")) for c in "ab")
-        # shingles are distinct, so that repeated ones make a set smaller: no bound on the number of words here
-        near = cut(pairs.join(a, "a").join(b, "b").select("a", "b"))
-        return _verified(near, where, rows, like)
+        return _verified(pairs, where, rows, like)
 
     _, roots = linked(held, verify)
     known = items.select("item", "spot", "n").join(roots, "item", "left").withColumn("class_id", F.coalesce("root", "item"))
-    classes = known.groupBy("class_id").agg(F.min("spot").alias("keep"), F.sum("n").alias("total"), F.count("*").alias("n")).filter("total > 1")
-    known = cut(join_bearing_hot(known.select("item", "class_id", F.col("n").alias("own")), cut(classes), ["class_id"]).select("item", "class_id", F.col("keep.doc").alias("keep_id"), F.col("keep.place").alias("keep_place"), F.col("own").alias("n")))
+    known = cut(known)
+    classes = known.groupBy("class_id").agg(F.min("spot").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
+    known = cut(join_salted(known.select("item", "class_id", "n"), classes, "class_id", "item").select("item", "class_id", F.col("keep.doc").alias("keep_id"), F.col("keep.place").alias("keep_place"), "n"))
     return join_bearing_hot(found.select("doc", "fp", "place", "item"), known, ["item"]).select("doc", "fp", "place", "class_id", "keep_id", "keep_place")
 
 

@@ -80,17 +80,17 @@ class Grower:
         done, bound, depth = [], n_roots, 0
         roots = None
         while True:
-            stats = settle(self.node_stats(front), bound)
+            stats, local = settle(self.node_stats(front), bound)
             if roots is None:
-                roots = settle(stats.select("tree", F.col("w_node").alias("w_root")), bound)
+                roots = stats.select("tree", F.col("w_node").alias("w_root"))
             ready = stats.filter((F.lit(depth) < self.cap) & (F.col("n_rows") >= p.min_samples_split) & (F.col("impurity") > EPS))
-            best = None
-            if depth < self.cap_max and not ready.isEmpty():
-                chosen = settle(self.lottery(ready), bound)
-                largest = ready.agg(F.max("n_rows")).first()[0]
-                best = self.best_splits(front, ready, chosen, roots, largest) if p.splitter == "best" else self.random_splits(front, ready, chosen, roots)
-                best = settle(best, bound)
-            n_splits = best.count() if best is not None else 0
+            n_splits = 0
+            if depth < self.cap_max:
+                largest = max(local.column("n_rows").to_pylist(), default=0) if local is not None else stats.agg(F.max("n_rows")).first()[0]
+                chosen = self.lottery(ready)
+                found = self.best_splits(front, ready, chosen, roots, largest, bound) if p.splitter == "best" else self.random_splits(front, ready, chosen, roots)
+                best, local = settle(found, bound)
+                n_splits = local.num_rows if local is not None else best.count()
             if not n_splits:
                 done.append(self.leaves(stats, depth))
                 break
@@ -157,7 +157,7 @@ class Grower:
         out = local.join(parts, [*keys, "part"])
         return out.withColumns({**{n: F.col(n) + F.col(f"b_{n}") for n in summed}, "next": F.coalesce("next", "after")}).drop("part", "after", *(f"b_{n}" for n in summed))
 
-    def best_splits(self, front: DataFrame, ready: DataFrame, chosen: DataFrame, roots: DataFrame, largest: int) -> DataFrame:
+    def best_splits(self, front: DataFrame, ready: DataFrame, chosen: DataFrame, roots: DataFrame, largest: int, bound: int) -> DataFrame:
         p = self.p
         pre = self.prefixes(self.buckets(front, chosen), largest)
         node = ready.select("tree", "node", "n_rows", "w_node", "q_node", *(F.col(s).alias(f"p{i}") for i, s in enumerate(self.s)))
@@ -176,7 +176,7 @@ class Grower:
         top = top.withColumns({"kind": kind, "thr": thr})
         if "cat" not in [k for _, k in p.features]:
             return top.select("tree", "node", "j", "gain", "kind", "thr", "wl", (F.col("w_node") - F.col("wl")).alias("wr"), *_no_levels())
-        top = cut(top)
+        top, _ = settle(top, bound)
         key = F.broadcast(top.filter("kind = 'cat'").select("tree", "node", "j", "ord", F.col("skey").alias("k"), F.col("lv").alias("kl")))
         goes_left = (F.col("skey") < F.col("k")) | ((F.col("skey") == F.col("k")) & (F.col("lv") <= F.col("kl")))
         levels = self.buckets(front, chosen).join(key, ["tree", "node", "j", "ord"])

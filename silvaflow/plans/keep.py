@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Tables with so many rows at most are collected and sent back out with the next plan, and are joined by broadcast.
@@ -19,8 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle(df: DataFrame, at_most: int) -> DataFrame:
-    """df, computed once; at_most is a proven bound of its rows. Few rows go by way of the driver."""
+def settle(df: DataFrame, at_most: int) -> tuple[DataFrame, pa.Table | None]:
+    """df, computed once; at_most is a proven bound of its rows. Few rows go by way of the driver, which keeps them too."""
     if at_most > FEW:
-        return cut(df)
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+        return cut(df), None
+    rows = df.toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema), rows

@@ -62,7 +62,7 @@ def impurity(s: list[str], p: Spec) -> str:
     w = weight(s, p)
     if p.criterion == "gini":
         return "(1.0 - (" + " + ".join(f"({x} / {w}) * ({x} / {w})" for x in s) + "))"
-    return "(-(" + " + ".join(f"CASE WHEN {x} > 0 THEN {x} / {w} * log2({x} / {w}) ELSE 0 END" for x in s) + "))"
+    return "(0.0 - (" + " + ".join(f"CASE WHEN {x} > 0 THEN {x} / {w} * log2({x} / {w}) ELSE 0 END" for x in s) + "))"
 
 
 def q(text: str) -> str:

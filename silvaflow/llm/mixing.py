@@ -34,7 +34,7 @@ DOMAINS = ["clean", "poor", "toxic"]
 TARGETS = {"clean": 0.98, "poor": 0.02, "toxic": 0.0}
 ANCHOR = "clean"
 TRAIN, TRAIN_CHARS, FEATURES = 2000, 20_000, 1500
-RIDGE, STEPS = 0.02, 25
+RIDGE, STEPS = 0.02, 30
 SLICE = 1 << 21
 
 
@@ -144,25 +144,29 @@ def rates(posteriors: DataFrame, targets: dict[str, float] | None = None, anchor
         return posteriors.withColumn("rate", F.lit(1.0))
     total = supply[names.index(anchor)] / weights[names.index(anchor)]
     step = 1 / (1 + ridge)
+    ahead = (1 - np.sqrt(ridge * step)) / (1 + np.sqrt(ridge * step))
     share = np.maximum(supply / total, 1e-6)
     residuals: list[np.ndarray] = []
 
-    def rate() -> Column:
+    def state() -> Column:
+        """r, the rate, and y, the point of the next step: r and a share of r's last move (Nesterov's acceleration)."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
         if not residuals:
-            return F.lit(1.0)
+            return start
         past = F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in residuals))
         pull = lambda e: sum((F.col(f"p_{d}") * e[k] for k, d in enumerate(names)), F.lit(0.0))
-        return F.aggregate(past, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - step * (pull(e) + ridge * (r - 1))))
+        to = lambda s, e: F.greatest(F.lit(0.0), s.y - step * (pull(e) + ridge * (s.y - 1)))
+        return F.aggregate(past, start, lambda s, e: F.struct(to(s, e).alias("r"), (to(s, e) + ahead * (to(s, e) - s.r)).alias("y")))
 
     for _ in range(steps):
-        r = rate()
+        r = state().y
         got = np.array([x or 0.0 for x in posteriors.agg(*(F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")) for d in names)).first()])
         gap = got / total - weights
         gap = np.round(gap / share, 9)
         if residuals and np.abs(gap - residuals[-1]).max() < 1e-5:
             break
         residuals.append(gap)
-    return posteriors.withColumn("rate", rate())
+    return posteriors.withColumn("rate", state().r)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -194,7 +194,7 @@ def decisions(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
 def drop_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """docs with the removed paragraphs taken out of text; a text of which nothing is left becomes empty."""
-    gone = decisions(docs, like).filter(F.size("removed") > 0).select("doc_id", "fp", "removed").distinct()
+    gone = cut(decisions(docs, like).filter(F.size("removed") > 0).select("doc_id", "fp", "removed").distinct())
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(gone, F.equal_null(docs.doc_id, gone.doc_id) & (key == gone.fp), "left")
     lines = F.transform(F.split(docs["text"], "\n", -1), lambda x, i: F.when(~F.array_contains("removed", i), x))

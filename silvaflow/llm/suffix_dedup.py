@@ -176,9 +176,9 @@ def _shared(found: DataFrame) -> DataFrame:
     return found.repartition("h").mapInArrow(work, "h int, doc long")
 
 
-#: Contexts travel in blocks, one for each batch of texts and each of BUCKETS shares of the hashes: columns one after another,
-#: compressed. Anchors lie close together, so that their contexts repeat each other's bytes.
-BUCKETS = 256
+#: Contexts travel in blocks, one for each batch of texts and each share of the hashes: columns one after another, compressed.
+#: There are SHARES shares for each shuffle partition, so that partitions grow as small as the cluster is told to make them.
+SHARES = 4
 BLOCK = "bucket int, block binary"
 WIDTHS = (np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
 
@@ -198,7 +198,7 @@ def unpack(block: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
+def _contexts(rows: DataFrame, shares: int) -> DataFrame:
     """From doc, fp, text, hs: for each run of strings with an anchor among hs its bytes, where they begin in the text, and
     in which column of the matrix (the anchor lies in column LENGTH - SEED)."""
 
@@ -217,16 +217,14 @@ def _contexts(rows: DataFrame) -> DataFrame:
             keep = np.flatnonzero(wanted[at] == mine) if len(wanted) else np.zeros(0, np.int64)
             of, a, h, first, last = of[keep], a[keep], h[keep], first[keep], last[keep]
             raw = data.tobytes()
-            bucket = h & (BUCKETS - 1)
+            bucket = h % shares
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            names, blocks = [], []
-            for k in range(BUCKETS):
-                p = order[edges[k] : edges[k + 1]]
+            held, edges = np.unique(bucket[order], return_index=True)
+            names, blocks = held.tolist(), []
+            for p in np.split(order, edges[1:]):
                 if len(p):
                     size = last[p] + LENGTH - first[p]
                     columns = (h[p], doc[of[p]], fp[of[p]], first[p] - begin[of[p]], LENGTH - SEED - (a[p] - first[p]), size)
-                    names.append(k)
                     blocks.append(pack(columns, b"".join(raw[x:y] for x, y in zip(first[p].tolist(), (last[p] + LENGTH).tolist(), strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
@@ -347,7 +345,8 @@ def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     else:
         shared = _shared(found)
     hs = shared.groupBy("doc").agg(F.collect_list("h").alias("hs"))
-    blocks = _contexts(own.join(hs.hint("merge"), "doc"))
+    shares = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _contexts(own.join(hs.hint("merge"), "doc"), shares)
     cuts = _stretches(blocks, often)
     if often:
         cuts = cuts.unionByName(_stretches_by_string(_by_string(blocks, often)))

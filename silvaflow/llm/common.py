@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that are joined by broadcast because many rows have them: at most so many, each with over HOT_ROWS rows.
@@ -40,8 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more; it does so when the driver collects its
+    garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def hottest(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, join_salted
+from .common import cut, join_bearing_hot, join_salted, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         if not roles.agg(F.count_if(F.expr("least != most or n > 1")).alias("n")).first().n:
             break
         edges = cut(star(star(edges, True), False))
+        release(edges.sparkSession)
     return edges.select(F.col("b").alias("item"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("item"), F.col("a").alias("root")).distinct())
 
 
@@ -61,5 +62,7 @@ def linked(held: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: in
         tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
         found = verify(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = cut(found if links is None else links.unionByName(found))
+        del found, led
+        release(links.sparkSession)
         roots = cut(components(links))
     return links, roots

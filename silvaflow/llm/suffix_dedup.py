@@ -274,9 +274,11 @@ def _stretches(blocks: DataFrame, often: list[int]) -> DataFrame:
         start, low, size = start.astype(np.int64), low.astype(np.int64), size.astype(np.int64)
         columns = np.zeros((len(doc), width), np.uint8)
         offset = np.cumsum(size) - size
-        flat = np.repeat(np.arange(len(doc)) * width + low - offset, size) + np.arange(int(size.sum()))
-        columns.ravel()[flat] = data
-        del flat, data
+        for k in range(0, len(doc), 1 << 14):  # a few rows at a time: the places take eight times the bytes
+            p = slice(k, k + (1 << 14))
+            a, b = int(offset[k]), int(offset[p][-1] + size[p][-1])
+            columns.ravel()[np.repeat(np.arange(k, k + len(size[p])) * width + low[p] - offset[p], size[p]) + np.arange(a, b)] = data[a:b]
+        del data
         out = repeated(columns, low, low + size - LENGTH, doc)
         del columns
         edge = np.diff(np.pad(out, ((0, 0), (1, 1))).astype(np.int8), axis=1)

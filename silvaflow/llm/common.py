@@ -67,10 +67,10 @@ def join_bearing_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str
 
 def join_salted(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
     """Inner join of rows to table, which has one small row for each key. The rows of a key are dealt to salts tasks by the
-    column by, and the table's rows are copied to each, so that no job is needed to find hot keys."""
+    column by, and the table's rows are copied to each, so that no job is needed to find hot keys. The copies are never broadcast: the driver would hold them."""
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copied = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+    return dealt.join(copied.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

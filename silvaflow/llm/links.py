@@ -1,8 +1,11 @@
 """From items that share keys to verified links and their components, without all pairs of a key's items.
 
-Of the items that hold a key, each is paired with one leader: in the first round the smallest item, in later rounds one
-drawn by a hash of item and key. Pairs are verified; then items already in one component with the leader need no further
-pair, and the next round pairs what is still apart. Hot keys are aggregated where they lie and joined by broadcast.
+Of the items that hold a key, each is paired with one leader: in the first round the smallest item, in later rounds, which
+only crowded keys ask for, one drawn by a hash of item and key. Pairs are verified; then items already in one component with the leader need no further
+pair, and the next round pairs what is still apart. After the rounds every pair of a key whose items are still in two
+components, whose sizes allow a link and that was not verified before is verified: no pair that shares a key is left out
+unless its items are in one component already. Hot keys are aggregated where they lie and joined by broadcast; the pairs of
+a key are made in cells of BLOCK by BLOCK items.
 """
 
 from __future__ import annotations
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_bearing_hot, join_salted, release
 
+BLOCK = 128
+#: Another leader is drawn while the keys of two roots hold so many pairs for each of their rows.
+CROWDED = 32
+
 
 def components(links: DataFrame) -> DataFrame:
     """item, root: of each item in links (a, b: longs), the smallest item of its component. Alternates large-star and
@@ -41,28 +48,48 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("item"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("item"), F.col("a").alias("root")).distinct())
 
 
-def linked(held: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """held: key, item (longs). verify gets pairs (a, b), a being the leader of many, and returns those that are
-    alike. Returns the links (a, b) and the components (item, root) of all items in links."""
+def apart(live: DataFrame, like: float) -> DataFrame:
+    """live: key, item, size, root, and n, the key's number of rows. The pairs (leader, item) that share a key and have two
+    roots, the smaller size being at least like of the larger."""
+    live = live.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    left = live.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), F.col("item").alias("leader"), F.col("size").alias("s_a"), F.col("root").alias("r_a"))
+    right = live.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "item", F.col("size").alias("s_b"), F.col("root").alias("r_b"))
+    met = left.join(right.hint("merge"), ["key", "i", "j"]).filter("(i < j or leader < item) and r_a != r_b")
+    return met.filter(F.least("s_a", "s_b") >= like * F.greatest("s_a", "s_b") - 1e-9).select("leader", "item")
+
+
+def linked(held: DataFrame, verify: Callable[[DataFrame], DataFrame], like: float, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """held: key, item (longs), size; items are alike only if the smaller size is at least like of the larger. verify gets
+    pairs (a, b), a being the leader of many, and returns those that are alike. Returns the links (a, b) and the components
+    (item, root) of all items in links. rounds (1 or more) is how many are led at most before the rest is paired; no component depends on it."""
     many = held.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("leader")).filter("n > 1")
     held = cut(join_bearing_hot(held, cut(many), ["key"]))
     links = roots = tested = None
-    for k in range(rounds):
+    for k in range(rounds + 1):
         if k == 0:
+            last = False
             led = held.select("item", "leader").filter("item != leader")
         else:
-            now = cut(held.drop("leader").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item")))
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("item"), F.col("key"), F.lit(k)).alias("o"), "item", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            lead = lead.filter("r0 != r1").select("key", F.col("lead.item").alias("leader"), F.col("lead.root").alias("lead_root"))
-            led = join_salted(now, lead, "key", "item").filter("root != lead_root")
+            now = cut(held.select("key", "item", "size").join(roots.hint("merge"), "item", "left").withColumn("root", F.coalesce("root", "item")))
+            lead = now.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.col("item"), F.col("key"), F.lit(k)).alias("o"), "item", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+            lead = cut(lead.filter("r0 != r1").select("key", "n", F.col("lead.item").alias("leader"), F.col("lead.root").alias("lead_root")))
+            held = cut(join_bearing_hot(now, lead, ["key"]))  # a key of one root stays so
+            size = lead.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+            last = k == rounds or (size.pairs or 0) <= CROWDED * (size.rows or 0)
+            led = apart(held, like) if last else held.filter("root != lead_root").select("leader", "item")
+            del now, lead
         pairs = led.select(F.col("leader").alias("a"), F.col("item").alias("b"), F.least("item", "leader").alias("lo"), F.greatest("item", "leader").alias("hi")).dropDuplicates(["lo", "hi"])
         if tested is not None:
-            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
+            pairs = pairs.join(tested.hint("merge"), ["lo", "hi"], "left_anti")
         pairs = cut(pairs)
-        tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
+        if not last:
+            tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
         found = verify(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = cut(found if links is None else links.unionByName(found))
         del found, led
         release(links.sparkSession)
-        roots = cut(components(links))
+        stars = links if roots is None else roots.filter("root != item").select(F.col("root").alias("a"), F.col("item").alias("b")).unionByName(links)
+        roots = cut(components(stars))
+        if last:
+            break
     return links, roots

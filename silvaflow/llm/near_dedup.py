@@ -214,17 +214,18 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rows = cut(_sketched(docs))
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("doc_id", "n_words", "keys")).alias("one"))
     reps = cut(reps.select("fp", F.xxhash64("fp").alias("item"), "rep", "n", F.col("one.n_words").alias("n_words"), F.col("one.keys").alias("keys")))
-    held = reps.filter("n_words > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "item")
+    held = reps.filter("n_words > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "item", F.col("n_words").alias("size"))
     sizes = reps.select("item", "n_words", "rep")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sizes.select(F.col("item").alias("a"), F.col("n_words").alias("n_a"))
         b = sizes.select(F.col("item").alias("b"), F.col("n_words").alias("n_b"))
-        near = pairs.join(b, "b")
-        near = join_salted(near, a, "a", "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b")).select("a", "b")
+        a = a.join(pairs.select("a").distinct().hint("merge"), "a")
+        near = pairs.join(b.hint("merge"), "b")
+        near = join_salted(near, a, "a", "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
         return _verified(near, sizes.select("item", "rep"), docs, like)
 
-    links, roots = linked(held, verify)
+    links, roots = linked(held, verify, like)
     reps = reps.drop("keys").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     ends = links.select(F.col("a").alias("item")).union(links.select("b")).groupBy("item").agg(F.count("*").alias("n_links"))
     reps = cut(reps.join(ends, "item", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))

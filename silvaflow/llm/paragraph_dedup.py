@@ -4,6 +4,7 @@ A paragraph is a line; its words are lower-cased runs of letters and digits. Par
 their sets of K-word shingles. bands() chooses how many hash functions make a band and how many bands there are, so that a
 pair of similarity LIKE shares a band with probability RECALL at least. Paragraphs of equal words are one item; items that
 share a band are paired (see links.py), verified by exact Jaccard similarity of LIKE or more, and joined into components.
+Pairs whose numbers of shingles are too far apart go before their texts are compared.
 Of each component the first paragraph stays (by doc_id, then by its place), all others are removed.
 
 Shorter paragraphs are always kept. Null text has no paragraphs. Rows that share a doc_id are told apart by their text for
@@ -40,13 +41,14 @@ def bands(like: float = LIKE, recall: float = RECALL, most: int = MOST_BANDS) ->
     raise ValueError("no number of bands reaches this recall")
 
 
-def band_keys(ids: np.ndarray, first: np.ndarray, n: int, rows: int, k: int = K) -> np.ndarray:
-    """For paragraphs of k words or more, whose word hashes lie one after another in ids from first on, n band keys each."""
+def band_keys(ids: np.ndarray, first: np.ndarray, n: int, rows: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """For paragraphs of k words or more, whose word hashes lie one after another in ids from first on, n band keys each,
+    and the number of different shingles."""
     pieces = np.diff(first) - k + 1
     total = int(pieces.sum())
     out = np.zeros((len(pieces), n), np.uint64)
     if not total:
-        return out
+        return out, pieces
     starts = np.concatenate([[0], np.cumsum(pieces)[:-1]])
     place = np.repeat(first[:-1] - starts, pieces) + np.arange(total)
     h = np.zeros(total, np.uint64)
@@ -56,9 +58,14 @@ def band_keys(ids: np.ndarray, first: np.ndarray, n: int, rows: int, k: int = K)
     for band in range(n):
         key = np.full(len(pieces), SEEDS[band], np.uint64)
         for r in range(rows):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mixed(h ^ SEEDS[1 + band * rows + r]), starts))
+            least = np.minimum.reduceat(_mixed(h ^ SEEDS[1 + band * rows + r]), starts)
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
         out[:, band] = key
-    return out
+    own = np.repeat(np.arange(len(pieces)), pieces)
+    mine = h ^ _mixed(own.astype(np.uint64) + np.uint64(77))
+    order = np.argsort(mine, kind="stable")
+    new = np.concatenate([[True], mine[order][1:] != mine[order][:-1]])
+    return out, np.bincount(own[order][new], minlength=len(pieces))
 
 
 def shingles(words: list[str], k: int = K) -> set[tuple[str, ...]]:
@@ -71,7 +78,7 @@ def jaccard(a: set, b: set) -> float:
 
 
 def _paragraphs(rows: DataFrame, n: int, per: int) -> DataFrame:
-    """doc, fp, place, item, n_words, keys of each judged paragraph."""
+    """doc, fp, place, item, size (different shingles), keys of each judged paragraph."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -94,7 +101,8 @@ def _paragraphs(rows: DataFrame, n: int, per: int) -> DataFrame:
                     size.append(len(words))
                     item.append(int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
             first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            keys = band_keys(np.array(flat, np.uint64), first, n, per).view(np.int64)
+            keys, shingled = band_keys(np.array(flat, np.uint64), first, n, per)
+            keys = keys.view(np.int64)
             of = np.array(of, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -102,13 +110,13 @@ def _paragraphs(rows: DataFrame, n: int, per: int) -> DataFrame:
                     pa.array(batch.column("fp").to_numpy()[of]),
                     pa.array(place, pa.int32()),
                     pa.array(item, pa.int64()),
-                    pa.array(size, pa.int32()),
+                    pa.array(shingled, pa.int32()),
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel(), pa.int64()), n).cast(pa.list_(pa.int64())),
                 ],
-                ["doc", "fp", "place", "item", "n_words", "keys"],
+                ["doc", "fp", "place", "item", "size", "keys"],
             )
 
-    return rows.mapInArrow(work, "doc long, fp long, place int, item long, n_words int, keys array<long>")
+    return rows.mapInArrow(work, "doc long, fp long, place int, item long, size int, keys array<long>")
 
 
 def _verified(pairs: DataFrame, where: DataFrame, rows: DataFrame, like: float) -> DataFrame:
@@ -158,14 +166,18 @@ def repeated_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     rows = _rows(docs)
     found = _paragraphs(rows, n, per)
     spot = F.struct("doc", "place", "fp")
-    items = cut(found.groupBy("item").agg(F.min(spot).alias("spot"), F.count("*").alias("n"), F.max("keys").alias("keys")))
-    held = items.select("item", F.explode(F.array_distinct("keys")).alias("key"))
+    items = cut(found.groupBy("item").agg(F.min(spot).alias("spot"), F.count("*").alias("n"), F.max("keys").alias("keys"), F.max("size").alias("size")))
+    held = items.select("item", F.explode(F.array_distinct("keys")).alias("key"), "size")
     where = items.select("item", F.col("spot.doc").alias("doc"), F.col("spot.fp").alias("fp"), F.col("spot.place").alias("place"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, where, rows, like)
+        a = items.select(F.col("item").alias("a"), F.col("size").alias("n_a"))
+        b = items.select(F.col("item").alias("b"), F.col("size").alias("n_b"))
+        a = a.join(pairs.select("a").distinct().hint("merge"), "a")
+        near = join_salted(pairs.join(b.hint("merge"), "b"), a, "a", "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b") - 1e-9)
+        return _verified(cut(near.select("a", "b")), where, rows, like)
 
-    _, roots = linked(held, verify)
+    _, roots = linked(held, verify, like)
     known = items.select("item", "spot", "n").join(roots, "item", "left").withColumn("class_id", F.coalesce("root", "item"))
     known = cut(known)
     classes = known.groupBy("class_id").agg(F.min("spot").alias("keep"), F.sum("n").alias("total")).filter("total > 1")

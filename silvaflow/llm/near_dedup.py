@@ -1,20 +1,24 @@
 """Near-duplicate documents by order MinHash and banded alignment.
 
 Words are lower-cased runs of letters and digits. Of a document's K-word pieces, each labelled with how often it occurred
-before, every one of SKETCHES hash functions picks the PICKED least, and the sketch is these pieces in text order: equal
-sketches come of texts whose pieces agree in order, so that they are sensitive to edit similarity. Documents that share a
-sketch are paired (see links.py) and verified: the edit distance of their words, by alignment in a band of diagonals, is
-at most 1 - LIKE of the longer one's words. Texts with equal words are one class from the start, whatever their number.
-
-A document under K words has one piece, all its words; one without words is alike only those without words. Null text
-counts as empty. Rows that share a doc_id are told apart by their words and may lie in different classes. An empty table
-gives an empty result.
+before, every hash function picks the PICKED least, and the sketch is these pieces in text order: equal sketches come of
+texts whose pieces agree in order, so that they are sensitive to edit similarity. An edit touches K pieces at most, so that
+two texts as far apart as LIKE allows share a known number of pieces; sketch_counts() takes as many hash functions as find
+such a pair with probability RECALL, wherever its edits lie (more for short texts). Labels of a repeated piece may shift and
+change the order, which the count leaves out. Texts so short that one edit is all they may differ in have as keys their
+words and their words with any one left out, which miss no pair. Documents that share a key are paired (see links.py) and
+verified: the edit distance of their words, by alignment in a band of diagonals, is at most 1 - LIKE of the longer one's
+words. Texts with equal words are one class from the start, whatever their number.
+
+A document without words is alike only those without words. Null text counts as empty. Rows that share a doc_id are told
+apart by their words and may lie in different classes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_bearing_hot, join_salted, slices
 from .links import linked
 
-K, LIKE, SKETCHES, PICKED = 5, 0.8, 24, 2
+K, LIKE, RECALL, PICKED = 2, 0.8, 0.999, 2
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 SLICE = 1 << 20
 #: As many texts at most follow one copy of their leader's; so many rows at most are joined by broadcast.
@@ -43,8 +47,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def sketches(ids: np.ndarray, first: np.ndarray, k: int = K, m: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """For documents whose word hashes lie one after another in ids, beginning at first (with the end), m sketches each."""
+def edits(n: int, like: float) -> int:
+    """How many edits a pair may have whose longer text has n words."""
+    return int(np.floor((1 - like) * n + 1e-9))
+
+
+#: From so many words on, texts have the same number of sketches.
+LONG = 512
+
+
+@cache
+def sketch_counts(like: float = LIKE, recall: float = RECALL) -> np.ndarray:
+    """The number of sketches of a text by its number of words (LONG for all longer ones): enough for every pair that it can
+    be the shorter text of; none where one edit is all."""
+    needed = np.zeros(2 * LONG + 1, np.int64)
+    for n in range(1, len(needed)):
+        e = edits(n, like)
+        if e < 2:
+            continue
+        both = n - K + 1 - K * e
+        every = 2 * (n - K + 1) - both
+        if both < PICKED:
+            raise ValueError("pairs of this similarity need not share pieces")
+        p = np.prod([(both - i) / (every - i) for i in range(PICKED)])
+        needed[n] = np.ceil(np.log(1 - recall) / np.log(1 - p))
+    out = np.array([needed[n : min(len(needed), int(n / like + 1e-9) + 1)].max() for n in range(LONG)] + [needed[LONG:].max()])
+    if out.max() >= len(SEEDS):
+        raise ValueError("no number of sketches reaches this recall")
+    return np.maximum.accumulate(out[::-1])[::-1] * (out > 0)
+
+
+def short_keys(words: list[str], like: float = LIKE) -> list[int]:
+    """Of a text that may be one edit from another: keys of its words, and of its words with one left out."""
+    if not words or edits(len(words), like) > 1:
+        return []
+    left = [words] + [words[:i] + words[i + 1 :] for i in range(len(words))] * edits(len(words), like)
+    return sorted({int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in left})
+
+
+def sketches(ids: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int = K, picked: int = PICKED) -> np.ndarray:
+    """For documents whose word hashes lie one after another in ids, beginning at first (with the end), so many sketches
+    each as counts says (zeros follow)."""
+    m = int(counts.max()) if len(counts) else 0
     n_docs = len(first) - 1
     size = np.diff(first)
     pieces = np.maximum(size - k + 1, (size > 0).astype(np.int64))
@@ -68,23 +112,28 @@ def sketches(ids: np.ndarray, first: np.ndarray, k: int = K, m: int = SKETCHES,
     label = np.empty(total, np.uint64)
     label[order] = (np.arange(total) - np.maximum.accumulate(np.where(new, np.arange(total), 0))).astype(np.uint64)
     h = h + label * np.uint64(0xD1342543DE82EF95)
-    some = np.flatnonzero(pieces > 0)
-    starts = begin[:-1][some]
-    spread = np.repeat(np.arange(len(some)), pieces[some])
     for j in range(m):
-        v = _mixed(h ^ SEEDS[j])
+        some = np.flatnonzero((pieces > 0) & (counts > j))
+        if not len(some):
+            break
+        if j == 0 or len(some) < len(starts):
+            own = h[((pieces > 0) & (counts > j))[doc]]
+            starts = np.concatenate([[0], np.cumsum(pieces[some])[:-1]])
+            spread = np.repeat(np.arange(len(some)), pieces[some])
+            n_own = len(own)
+        v = _mixed(own ^ SEEDS[j])
         chosen = np.zeros((len(some), picked), np.int64)
         for p in range(picked):
             least = np.minimum.reduceat(v, starts)
             hits = np.flatnonzero(v == least[spread])
-            at = np.full(len(some), total, np.int64)
+            at = np.full(len(some), n_own, np.int64)
             np.minimum.at(at, spread[hits], hits)
             chosen[:, p] = at
             v[at] = np.uint64(2**64 - 1)
         chosen.sort(axis=1)  # in text order; a document with fewer pieces repeats one
         key = np.full(len(some), SEEDS[j + 1], np.uint64)
         for p in range(picked):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(chosen[:, p], total - 1)])
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + own[np.minimum(chosen[:, p], n_own - 1)])
         out[some, j] = key
     return out
 
@@ -151,13 +200,14 @@ def alike(a: list[str], b: list[str], like: float = LIKE) -> bool:
     return within(x, y, most) <= most
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (16 bytes that stand for the words), n_words, keys (the sketches)."""
+def _sketched(docs: DataFrame, like: float) -> DataFrame:
+    """doc_id, fp (16 bytes that stand for the words), n_words, keys (the sketches, or those of a short text)."""
+    wanted = sketch_counts(like)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in slices(batches, most=SLICE):
-            rows, fps = [], []
+            rows, fps, short = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 fps.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
@@ -170,12 +220,19 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         v = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
                     row.append(v)
                 rows.append(row)
+                short.append(short_keys(words, like))
             first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             ids = np.fromiter((x for r in rows for x in r), np.uint64, int(first[-1]))
-            keys = sketches(ids, first).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(np.diff(first)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), SKETCHES).cast(pa.list_(pa.int64()))], ["doc_id", "fp", "n_words", "keys"]
-            )
+            counts = wanted[np.minimum(np.diff(first), LONG)]
+            extra = np.fromiter(map(len, short), np.int64, len(short))
+            every = sketches(ids, first, counts)
+            every = np.concatenate([every, np.zeros((len(rows), int(extra.max(initial=0))), np.uint64)], axis=1)
+            for i in np.flatnonzero(extra):
+                every[i, counts[i] : counts[i] + extra[i]] = short[i]
+            held = counts + extra
+            keys = pa.array(every[np.arange(every.shape[1]) < held[:, None]].view(np.int64))
+            ends = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(ends, keys)], ["doc_id", "fp", "n_words", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp binary, n_words long, keys array<long>")
 
@@ -211,7 +268,7 @@ def _verified(pairs: DataFrame, place: DataFrame, docs: DataFrame, like: float)
 
 def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id, fp, class_id (smallest doc_id of the class), n_links (verified links of the row's words), kept."""
-    rows = cut(_sketched(docs))
+    rows = cut(_sketched(docs, like))
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("doc_id", "n_words", "keys")).alias("one"))
     reps = cut(reps.select("fp", F.xxhash64("fp").alias("item"), "rep", "n", F.col("one.n_words").alias("n_words"), F.col("one.keys").alias("keys")))
     held = reps.filter("n_words > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "item", F.col("n_words").alias("size"))

@@ -2,7 +2,8 @@
 
 A pre-token is a row of symbols (bytes at first). The leaves of its tree are (rank, place) of the pair that begins at each
 place; the root is the leftmost pair of lowest rank. A merge changes three leaves and the paths above them, so that n
-symbols take O(n log n). Many short pre-tokens of one width are worked on as one array of trees; a long one has its own.
+symbols take O(n log n). Many short pre-tokens of one width are worked on as one array of trees; a long one has its own,
+whatever its length: its leaves have as many bits for the place as it needs.
 
 Null text counts as empty and has no ids. Special strings inside texts are the special token, as is the library's default.
 """
@@ -22,7 +23,7 @@ from .common import slices
 from .pretokens import Memo, byte_level_spans, distinct
 
 FAR = np.int64(1) << np.int64(62)
-PLACE = 24  # bits of a leaf that hold its place
+PLACE = 24  # bits of a leaf that hold its place, among many trees
 PIECE_BYTES = 1 << 20  # texts are worked on in groups of about so many bytes
 
 
@@ -73,9 +74,7 @@ class Bpe:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for width in np.unique(1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)):
             chosen = np.flatnonzero((np.maximum(sizes, 2) <= width) & (np.maximum(sizes, 2) > width // 2 if width > 2 else True))
-            if width >= 1 << PLACE:
-                raise ValueError(f"a pre-token of more than {1 << PLACE - 1} bytes")
-            if len(chosen) * 8 < width:
+            if width >= 1 << PLACE or len(chosen) * 8 < width:
                 for i in chosen.tolist():
                     out[i] = self.one_tree(words[i])
             else:
@@ -145,6 +144,7 @@ class Bpe:
         n, pairs, far = len(word), self.pairs, int(FAR)
         symbols = self.first[np.frombuffer(word, np.uint8)].tolist()
         width = 1 << max(1, (n - 1).bit_length())
+        bits = width.bit_length()
         tree, merged = [far] * (2 * width), [0] * n
         follows, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
 
@@ -153,7 +153,7 @@ class Bpe:
             if found is None:
                 return far
             merged[i] = found[1]
-            return found[0] << PLACE | i
+            return found[0] << bits | i
 
         def put(i: int, value: int) -> None:
             node = i + width
@@ -168,7 +168,7 @@ class Bpe:
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
         while tree[1] < far:
-            i = tree[1] & ((1 << PLACE) - 1)
+            i = tree[1] & ((1 << bits) - 1)
             j = follows[i]
             symbols[i], alive[j] = merged[i], False
             follows[i] = k = follows[j]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +22,14 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, one of our own, but only on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="silvaflow-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -40,6 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder as compressed columns: for wide tables of which later steps read few
+    columns. Spark writes a task's file under a name of the attempt, so that a lost task does no harm."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() gave and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles that nothing refers to any more; it does so when the driver collects its
     garbage, which may be long after."""

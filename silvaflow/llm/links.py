@@ -1,36 +1,40 @@
-"""From items that share keys to verified links and their components, without all pairs of a key's items.
-
-Of the items that hold a key, each is paired with one leader: in the first round the smallest item, in later rounds, which
-only crowded keys ask for, one drawn by a hash of item and key. Pairs are verified; then items already in one component with the leader need no further
-pair, and the next round pairs what is still apart. After the rounds every pair of a key whose items are still in two
-components, whose sizes allow a link and that was not verified before is verified: no pair that shares a key is left out
-unless its items are in one component already. Hot keys are aggregated where they lie and joined by broadcast; the pairs of
-a key are made in cells of BLOCK by BLOCK items.
+"""From items that share keys to verified links and their components, without all pairs of a key's items as rows.
+
+crowded() finds the keys that several items hold: one count of the keys, which is combined before it is shuffled, and one
+join, of which Spark splits skewed partitions. classed() puts items of a key together only if their sizes allow a link.
+What is left of a key is compared in cells: of a key with up to BLOCK items there is one cell; the items of a hot key are
+dealt to blocks, and each two blocks are a cell, so that every two items meet in one cell and no task holds more than two
+blocks. In a cell pairs are compared as numbers in arrays and are never rows; only links leave it, and of these no more
+than join what is alike (spanning()). So a big group of copies costs little, and no pair that shares a key is left out
+unless its items are in one component already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, join_salted, release
+from .common import cut, release
 
-BLOCK = 128
-#: Another leader is drawn while the keys of two roots hold so many pairs for each of their rows.
-CROWDED = 32
+#: Items of a block.
+BLOCK = 4096
+CELL = ["key", "class", "i", "j"]
 
 
 def components(links: DataFrame) -> DataFrame:
     """item, root: of each item in links (a, b: longs), the smallest item of its component. Alternates large-star and
-    small-star steps until every item but roots has one link, to a root; each step is an aggregation and a salted join."""
+    small-star steps until every item but roots has one link, to a root; each step is an aggregation and a join."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both if large else both.filter("v < u")
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = join_salted(near, least, "u", "v")
+        joined = near.join(least.hint("merge"), "u")
         if large:
             out = joined.filter("v > u and v != m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
@@ -48,48 +52,82 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("item"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("item"), F.col("a").alias("root")).distinct())
 
 
-def apart(live: DataFrame, like: float) -> DataFrame:
-    """live: key, item, size, root, and n, the key's number of rows. The pairs (leader, item) that share a key and have two
-    roots, the smaller size being at least like of the larger."""
-    live = live.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
-    left = live.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), F.col("item").alias("leader"), F.col("size").alias("s_a"), F.col("root").alias("r_a"))
-    right = live.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "item", F.col("size").alias("s_b"), F.col("root").alias("r_b"))
-    met = left.join(right.hint("merge"), ["key", "i", "j"]).filter("(i < j or leader < item) and r_a != r_b")
-    return met.filter(F.least("s_a", "s_b") >= like * F.greatest("s_a", "s_b") - 1e-9).select("leader", "item")
-
-
-def linked(held: DataFrame, verify: Callable[[DataFrame], DataFrame], like: float, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """held: key, item (longs), size; items are alike only if the smaller size is at least like of the larger. verify gets
-    pairs (a, b), a being the leader of many, and returns those that are alike. Returns the links (a, b) and the components
-    (item, root) of all items in links. rounds (1 or more) is how many are led at most before the rest is paired; no component depends on it."""
-    many = held.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("leader")).filter("n > 1")
-    held = cut(join_bearing_hot(held, cut(many), ["key"]))
-    links = roots = tested = None
-    for k in range(rounds + 1):
-        if k == 0:
-            last = False
-            led = held.select("item", "leader").filter("item != leader")
-        else:
-            now = cut(held.select("key", "item", "size").join(roots.hint("merge"), "item", "left").withColumn("root", F.coalesce("root", "item")))
-            lead = now.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.col("item"), F.col("key"), F.lit(k)).alias("o"), "item", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            lead = cut(lead.filter("r0 != r1").select("key", "n", F.col("lead.item").alias("leader"), F.col("lead.root").alias("lead_root")))
-            held = cut(join_bearing_hot(now, lead, ["key"]))  # a key of one root stays so
-            size = lead.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-            last = k == rounds or (size.pairs or 0) <= CROWDED * (size.rows or 0)
-            led = apart(held, like) if last else held.filter("root != lead_root").select("leader", "item")
-            del now, lead
-        pairs = led.select(F.col("leader").alias("a"), F.col("item").alias("b"), F.least("item", "leader").alias("lo"), F.greatest("item", "leader").alias("hi")).dropDuplicates(["lo", "hi"])
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["lo", "hi"], "left_anti")
-        pairs = cut(pairs)
-        if not last:
-            tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
-        found = verify(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = cut(found if links is None else links.unionByName(found))
-        del found, led
-        release(links.sparkSession)
-        stars = links if roots is None else roots.filter("root != item").select(F.col("root").alias("a"), F.col("item").alias("b")).unionByName(links)
-        roots = cut(components(stars))
-        if last:
-            break
-    return links, roots
+def size_class(size: np.ndarray, like: float) -> np.ndarray:
+    """Sizes of which the smaller is at least like of the larger are in one class or in two that follow one another."""
+    return np.floor(np.log(np.maximum(size, 1)) / -math.log(like) + 1e-9)
+
+
+def crowded(held: DataFrame) -> DataFrame:
+    """The rows of held (key, item, ...; an item holds a key once) whose key another item holds too."""
+    many = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return held.join(many.hint("merge"), "key")
+
+
+def classed(rows: DataFrame, like: float) -> DataFrame:
+    """rows (key, item, size, ...), each once for its class of size and once for the next, with the column class: two items
+    are alike only if the smaller size is at least like of the larger, and then they share a key and a class."""
+    own = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-math.log(like)) + F.lit(1e-9)).cast("int")
+    return rows.withColumn("class", F.explode(F.array(own, own + 1)))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """rows (key, class, item, n: the number of rows of this key and class, ...) dealt to cells and sorted by them, with i and
+    j, the blocks that meet in a cell, and side, the block that the row is of."""
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("item"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("n", "other")
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL, "item")
+
+
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The columns of successive cells, as arrays, or lists of what is no number."""
+    kept: dict | None = None
+
+    def joined(a: dict, b: dict) -> dict:
+        return {c: np.concatenate([a[c], b[c]]) if isinstance(a[c], np.ndarray) else a[c] + b[c] for c in a}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {}
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            columns[name] = column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else column.to_pylist()
+        new = np.zeros(batch.num_rows, bool)
+        for c in CELL:
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            part = {c: v[a:b] for c, v in columns.items()}
+            if kept is not None and all(kept[c][0] == part[c][0] for c in CELL):
+                kept = joined(kept, part)
+            else:
+                if kept is not None:
+                    yield kept
+                kept = part
+    if kept is not None:
+        yield kept
+
+
+def partners(cell: dict, labels: np.ndarray, x: int) -> np.ndarray:
+    """The rows after x of a cell that x has to be compared with: of another label, and of the other block where two meet."""
+    y = np.flatnonzero(labels[x + 1 :] != labels[x]) + x + 1
+    return y if cell["i"][0] == cell["j"][0] else y[cell["side"][y] != cell["side"][x]]
+
+
+def spanning(cell: dict, labels: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], alike: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links (rows of the cell) that join what is alike and not of one label yet. near leaves out rows that can't be alike."""
+    out = []
+    for x in range(len(labels) - 1):
+        y = partners(cell, labels, x)
+        if len(y):
+            for k in near(x, y).tolist():
+                if labels[k] != labels[x] and alike(x, k):
+                    labels[labels == labels[k]] = labels[x]
+                    out.append((x, k))
+    return out
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows (key, class, ...) whose key and class others have too, with n, their number."""
+    many = rows.groupBy("key", "class").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(many.hint("merge"), ["key", "class"])

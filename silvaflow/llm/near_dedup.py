@@ -1,23 +1,31 @@
 """Near-duplicate documents by order MinHash and banded alignment.
 
-Words are lower-cased runs of letters and digits. Of a document's K-word pieces, each labelled with how often it occurred
+Words are lower-cased runs of letters and digits. Of a document's pieces of K words, each labelled with how often it occurred
 before, every hash function picks the PICKED least, and the sketch is these pieces in text order: equal sketches come of
 texts whose pieces agree in order, so that they are sensitive to edit similarity. An edit touches K pieces at most, so that
 two texts as far apart as LIKE allows share a known number of pieces; sketch_counts() takes as many hash functions as find
-such a pair with probability RECALL, wherever its edits lie (more for short texts). Labels of a repeated piece may shift and
-change the order, which the count leaves out. Texts so short that one edit is all they may differ in have as keys their
-words and their words with any one left out, which miss no pair. Documents that share a key are paired (see links.py) and
-verified: the edit distance of their words, by alignment in a band of diagonals, is at most 1 - LIKE of the longer one's
-words. Texts with equal words are one class from the start, whatever their number.
-
-A document without words is alike only those without words. Null text counts as empty. Rows that share a doc_id are told
-apart by their words and may lie in different classes. An empty table gives an empty result.
+such a pair with probability RECALL wherever its edits lie (worst is every fifth word), more for short texts. Labels of a
+repeated piece may shift and change the order, which the count leaves out. Texts so short that one edit is all they may differ in have as keys their words and their
+words with any one left out, which miss no pair.
+
+Texts with equal words are one item from the start, whatever their number. Items that share a key are candidates:
+1. each is paired with the smallest item of its key (one row for each item and key at most);
+2. bags(), counts of words in BINS bins, give a lower bound of the edit distance, which drops nearly all that aren't alike;
+3. the edit distance of their words, by alignment in a band of diagonals, is at most 1 - LIKE of the longer one's words;
+4. the keys whose items are in several components still are compared in cells (see links.py): by bags first, and those rows
+   of a cell that may be alike by alignment. No pair that shares a key is left out.
+
+A document without words is alike only those without words. Null text counts as empty. Of a class the row with the smallest
+doc_id stays (nulls last, of equal ones the first read). Rows that share a doc_id are rows like others, repeated rows are
+copies. doc_id may have any type that sorts. Very long texts are compared whole. Other columns stay as they are, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import operator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -26,14 +34,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, join_salted, slices
-from .links import linked
+from .common import cut, discard, release, slices, written
+from .links import CELL, cells, classed, components, counted, crowded, each_cell, partners, spanning
 
 K, LIKE, RECALL, PICKED = 2, 0.8, 0.999, 2
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 SLICE = 1 << 20
-#: As many texts at most follow one copy of their leader's; so many rows at most are joined by broadcast.
-TOGETHER, FEW = 256, 20_000
+#: As many texts at most follow one copy of their leader's.
+TOGETHER = 256
+#: Bins of a bag of words, as stored and as made for the rows of one cell.
+BINS, MANY_BINS = 256, 4096
 SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, 65)], np.uint64)
 
 
@@ -47,9 +57,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def edits(n: int, like: float) -> int:
+def edits(n: int | np.ndarray, like: float) -> np.ndarray:
     """How many edits a pair may have whose longer text has n words."""
-    return int(np.floor((1 - like) * n + 1e-9))
+    return np.floor((1 - like) * n + 1e-9).astype(np.int64)
 
 
 #: From so many words on, texts have the same number of sketches.
@@ -62,7 +72,7 @@ def sketch_counts(like: float = LIKE, recall: float = RECALL) -> np.ndarray:
     be the shorter text of; none where one edit is all."""
     needed = np.zeros(2 * LONG + 1, np.int64)
     for n in range(1, len(needed)):
-        e = edits(n, like)
+        e = int(edits(n, like))
         if e < 2:
             continue
         both = n - K + 1 - K * e
@@ -81,7 +91,7 @@ def short_keys(words: list[str], like: float = LIKE) -> list[int]:
     """Of a text that may be one edit from another: keys of its words, and of its words with one left out."""
     if not words or edits(len(words), like) > 1:
         return []
-    left = [words] + [words[:i] + words[i + 1 :] for i in range(len(words))] * edits(len(words), like)
+    left = [words] + [words[:i] + words[i + 1 :] for i in range(len(words))] * int(edits(len(words), like))
     return sorted({int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in left})
 
 
@@ -138,164 +148,252 @@ def sketches(ids: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int = K,
     return out
 
 
-def within(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The edit distance of two rows of integers if it is at most most, else most + 1. Diagonals within most of the main one
-    are followed to the furthest row reached with so many edits."""
+def bags(ids: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
+    """Counts (255 at most) of the words of each text by bin."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(of * bins + (ids % np.uint64(bins)).astype(np.int64), minlength=len(sizes) * bins)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sizes), bins)
+
+
+def at_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of texts, from their bags (one or many, in the last axis): the words that the one
+    text has and the other has not. Bins and cut counts only make it less."""
+    both = np.maximum(x, y).sum(axis=-1, dtype=np.int64)
+    return both - np.minimum(x.sum(axis=-1, dtype=np.int64), y.sum(axis=-1, dtype=np.int64))
+
+
+def within(a: Sequence, b: Sequence, most: int) -> int:
+    """The edit distance of two rows if it is at most most, else most + 1. Cells of the table of distances further than most
+    from the main diagonal are left out. A column of the band is held as bits: where the distance rises or falls from one
+    row to the next; the band moves down by a row with each column."""
     if len(a) > len(b):
         a, b = b, a
     n, m = len(a), len(b)
     if m - n > most:
         return most + 1
-    same = a[:n] != b[:n]
-    head = int(np.argmax(same)) if same.any() else n
-    a, b = a[head:], b[head:]
+    head = 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    a, b = a[head : n - tail], b[head : m - tail]
     n, m = len(a), len(b)
-    if not n:
+    if not n or not most:
         return m if m <= most else most + 1
-    same = a[::-1] != b[::-1][:n]
-    tail = int(np.argmax(same)) if same.any() else n
-    a, b = a[: n - tail], b[: m - tail]
-    n, m = len(a), len(b)
-    if not n:
-        return m if m <= most else most + 1
-    both = np.intersect1d(a, b)
-    common = int(np.minimum(np.unique(a[np.isin(a, both)], return_counts=True)[1], np.unique(b[np.isin(b, both)], return_counts=True)[1]).sum()) if len(both) else 0
-    if m - common > most:  # words that have no like on the other side
-        return most + 1
-    step = 16
-    pa_, pb = np.append(a, np.full(step, -1)), np.append(b, np.full(step, -2))
-    ahead = np.arange(step)
-    goal = m - n
-    low = -1 << 40
-    reach = np.full(2 * most + 3, low, np.int64)  # by diagonal + most + 1: rows of a passed
-    for e in range(most + 1):
-        width = np.arange(max(-e, -n, goal - (most - e)), min(e, m, goal + (most - e)) + 1)
-        at = width + most + 1
-        if e == 0:
-            rows = np.zeros(len(width), np.int64)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    width = 2 * most + 1  # in column j, bit k is row j - most + k
+    full = (1 << width) - 1
+    up, down = full >> most << most, 0  # rows before the first neither rise nor fall
+    slanted = max(0, n - most)  # columns whose band ends above the last row
+    distance, last = (most, 1 << (width - 1)) if n >= most else (n, 1 << (n + most))
+    hopeless = 2 * most + m - n
+    for j, x in enumerate(b):
+        hit = places.get(x, 0)
+        hit = (hit >> (j - most) if j > most else hit << (most - j)) & full
+        level = ((((hit & up) + up) ^ up) | hit | down) & full  # no more than the cell up and to the left
+        right = down | (full ^ (level | up))  # more than the cell to the left
+        left = level & up
+        if j < slanted:
+            distance += not level & last
+            if distance > hopeless:
+                return most + 1
         else:
-            rows = np.maximum(np.maximum(reach[at] + 1, reach[at - 1]), reach[at + 1] + 1)
-        rows = np.minimum(np.minimum(rows, n), m - width)
-        moving = np.flatnonzero((rows >= 0) & (rows < n) & (rows + width < m) & (rows + width >= 0))
-        while len(moving):
-            r, w = rows[moving], width[moving]
-            equal = pa_[np.minimum(r[:, None] + ahead, n)] == pb[np.minimum(r[:, None] + w[:, None] + ahead, m)]
-            run = np.where(equal.all(axis=1), step, np.argmin(equal, axis=1))
-            rows[moving] = r + run
-            moving = moving[run == step]
-        reach[:] = low
-        reach[at] = rows
-        if abs(goal) <= e and goal >= width[0] and goal <= width[-1] and rows[goal - width[0]] >= n:
-            return e
-    return most + 1
+            last >>= 1
+            distance += bool(right & last) - bool(left & last)
+        level >>= 1
+        up, down = left | (full ^ (level | right)), level & right
+    return min(distance, most + 1)
 
 
 def alike(a: list[str], b: list[str], like: float = LIKE) -> bool:
     """Whether the edit distance of two rows of words is at most 1 - like of the longer."""
-    most = int(np.floor((1 - like) * max(len(a), len(b)) + 1e-9))
-    known: dict[str, int] = {}
-    x, y = (np.fromiter((known.setdefault(w, len(known)) for w in v), np.int64, len(v)) for v in (a, b))
-    if len(x) == len(y) and int((x != y).sum()) <= most:
+    most = int(edits(max(len(a), len(b)), like))
+    if len(a) == len(b) and sum(map(operator.ne, a, b)) <= most:
         return True
-    return within(x, y, most) <= most
+    return within(a, b, most) <= most
+
+
+class _Ids(dict):
+    """A 64-bit number for each word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        v = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return v
 
 
 def _sketched(docs: DataFrame, like: float) -> DataFrame:
-    """doc_id, fp (16 bytes that stand for the words), n_words, keys (the sketches, or those of a short text)."""
+    """row (all columns of docs), fp (16 bytes that stand for the words), n_words, bag, keys (the sketches, or the keys of a
+    short text)."""
     wanted = sketch_counts(like)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = _Ids()
         for batch in slices(batches, most=SLICE):
             rows, fps, short = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 fps.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
-                if len(known) > 300_000:
-                    known.clear()
-                row = []
-                for w in words:
-                    v = known.get(w)
-                    if v is None:
-                        v = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                    row.append(v)
-                rows.append(row)
-                short.append(short_keys(words, like))
-            first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            ids = np.fromiter((x for r in rows for x in r), np.uint64, int(first[-1]))
-            counts = wanted[np.minimum(np.diff(first), LONG)]
+                rows.append(words)
+                short.append(np.array(short_keys(words, like), np.uint64))
+            size = np.fromiter(map(len, rows), np.int64, len(rows))
+            ids = np.fromiter((known[w] for r in rows for w in r), np.uint64, int(size.sum()))
+            first = np.concatenate([[0], np.cumsum(size)])
+            n = wanted[np.minimum(size, LONG)]
             extra = np.fromiter(map(len, short), np.int64, len(short))
-            every = sketches(ids, first, counts)
-            every = np.concatenate([every, np.zeros((len(rows), int(extra.max(initial=0))), np.uint64)], axis=1)
+            last = np.zeros((len(rows), int(extra.max(initial=0))), np.uint64)
             for i in np.flatnonzero(extra):
-                every[i, counts[i] : counts[i] + extra[i]] = short[i]
-            held = counts + extra
-            keys = pa.array(every[np.arange(every.shape[1]) < held[:, None]].view(np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(ends, keys)], ["doc_id", "fp", "n_words", "keys"])
+                last[i, : extra[i]] = short[i]
+            every = np.concatenate([sketches(ids, first, n), last], axis=1)
+            some = np.concatenate([np.arange(every.shape[1] - last.shape[1]) < n[:, None], np.arange(last.shape[1]) < extra[:, None]], axis=1)
+            ends = pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]), pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(every[some].view(np.int64)))
+            bag = [x.tobytes() for x in bags(ids, size, BINS)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps, pa.binary()), pa.array(size), pa.array(bag, pa.binary()), keys], ["row", "fp", "n_words", "bag", "keys"])
+
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+    return docs.select(row, docs["text"]).mapInArrow(work, f"row {kind}, fp binary, n_words long, bag binary, keys array<long>")
+
+
+def _bag(column: list[bytes] | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.uint8).reshape(-1, BINS)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp binary, n_words long, keys array<long>")
+def _maybe(pairs: DataFrame, items: DataFrame, like: float) -> DataFrame:
+    """Of pairs (a, b) those that sizes and bags don't tell apart."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            least = at_least(_bag(batch.column("bag_a")), _bag(batch.column("bag_b")))
+            yield batch.select(["a", "b"]).filter(pa.array((least <= edits(np.maximum(a, b), like)) & (np.abs(a - b) <= edits(np.maximum(a, b), like))))
 
-def _verified(pairs: DataFrame, place: DataFrame, docs: DataFrame, like: float) -> DataFrame:
-    """Of pairs (a, b) of items, those whose texts are alike; place gives the doc_id (rep) of each item's text.
+    for c in ("a", "b"):
+        own = items.select(F.col("item").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
+        pairs = pairs.join(own.hint("merge"), c)
+    return pairs.mapInArrow(work, "a long, b long")
 
-    The text of a comes once, followed by those of its bs, in one partition; an a with many bs comes once for every
-    TOGETHER of them, in as many partitions."""
+
+def _verified(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """Of pairs (a, b) of items, those whose texts (item, text) are alike. The text of a comes once, followed by those of its
+    bs, in one partition; an a with many bs comes once for every TOGETHER of them, in as many partitions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[str] = []
         for batch in batches:
-            a, b, first, texts = (batch.column(c).to_pylist() for c in ("a", "b", "first", "text"))
             good = []
-            for k, text in enumerate(texts):
+            for first, text in zip(batch.column("first").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                if first[k]:
+                if first:
                     kept = words
-                good.append(not first[k] and alike(kept, words, like))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                good.append(not first and alike(kept, words, like))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    members = pairs.join(degree.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
+    leaders = degree.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("first"), F.col("a").alias("item"))
+    found = texts.join(members.unionByName(leaders).hint("merge"), "item").select("a", "b", "salt", "first", "text")
+    return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("first"), "b").mapInArrow(work, "a long, b long")
+
+
+LIVE = "key long, class int, i int, j int, side int, item long, size long, root long"
+
 
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
-    members = join_salted(pairs, degree, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
-    leaders = degree.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(True).alias("first"), F.col("a").alias("item"))
-    need = cut(members.unionByName(leaders).join(place, "item").select("rep", "a", "b", "salt", "first"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    found = texts.join(F.broadcast(need), "rep") if need.limit(FEW + 1).count() <= FEW else texts.join(need.hint("merge"), "rep")
-    ordered = found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("first"), "b")
-    return ordered.select("a", "b", "first", "text").mapInArrow(work, "a long, b long")
+def _flagged(live: DataFrame, like: float) -> DataFrame:
+    """The rows of cells that have a partner there which sizes and bags don't tell apart."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in each_cell(batches):
+            size, bag, labels = cell["size"], _bag(cell["bag"]), cell["root"]
+            some = np.zeros(len(size), bool)
+            for x in range(len(size) - 1):
+                y = partners(cell, labels, x)
+                if len(y):
+                    y = y[np.abs(size[y] - size[x]) <= edits(np.maximum(size[y], size[x]), like)]
+                    y = y[at_least(bag[x], bag[y]) <= edits(np.maximum(size[y], size[x]), like)]
+                    some[y] = True
+                    some[x] |= len(y) > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cell[c][some]) for c in (*CELL, "side", "item", "size", "root")], [*CELL, "side", "item", "size", "root"])
+
+    return cells(live).select(*CELL, "side", "item", "size", "root", "bag").mapInArrow(work, LIVE)
+
+
+def _cell_links(rows: DataFrame, like: float) -> DataFrame:
+    """The links (a, b) that join what is alike in each cell; rows as _flagged() gives them, with text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids()
+        for cell in each_cell(batches):
+            words = [words_of(t) for t in cell["text"]]
+            size = cell["size"]
+            bag = bags(np.fromiter((known[w] for r in words for w in r), np.uint64, sum(map(len, words))), size, MANY_BINS)
+
+            def near(x: int, y: np.ndarray) -> np.ndarray:
+                most = edits(np.maximum(size[y], size[x]), like)
+                return y[(np.abs(size[y] - size[x]) <= most) & (at_least(bag[x], bag[y]) <= most)]
+
+            found = spanning(cell, cell["root"].copy(), near, lambda x, y: alike(words[x], words[y], like))
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(cell["item"][a]), pa.array(cell["item"][b])], ["a", "b"])
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "item").select(*CELL, "side", "item", "size", "root", "text").mapInArrow(work, "a long, b long")
+
+
+def _roots(items: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """item, root of the items that have links."""
+    spark = items.sparkSession
+    held = items.select("item", F.col("n_words").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
+    crowd = cut(counted(classed(crowded(held), like)))
+    release(spark)
+    led = crowd.groupBy("key", "class").agg(F.min("item").alias("a"))
+    pairs = crowd.join(led.hint("merge"), ["key", "class"]).filter("a != item").select("a", F.col("item").alias("b")).distinct()
+    links = cut(_verified(cut(_maybe(pairs, items, like)), texts, like))
+    release(spark)
+    roots = cut(components(links))
+    now = crowd.drop("n").join(roots.hint("merge"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    apart = now.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key", "class", "n")
+    live = now.join(apart.hint("merge"), ["key", "class"]).join(items.select("item", "bag").hint("merge"), "item")
+    flagged = cut(_flagged(live, like))
+    more = _cell_links(flagged.join(texts.hint("merge"), "item"), like)
+    stars = roots.filter("root != item").select(F.col("root").alias("a"), F.col("item").alias("b"))
+    return cut(components(cut(stars.unionByName(more))))
+
+
+def _classes(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
+    """The written rows of docs (row, rid), and for each its rid, class_id and kept."""
+    rows = written(_sketched(docs, like).withColumn("rid", F.monotonically_increasing_id()))
+    groups = cut(rows.groupBy("fp").agg(F.min("rid").alias("item")))
+    items = written(rows.join(groups.select(F.col("item").alias("rid")).hint("merge"), "rid").select(F.col("rid").alias("item"), "n_words", "bag", "keys"))
+    roots = _roots(items, rows.select(F.col("rid").alias("item"), F.col("row.text").alias("text")), like)
+    discard(items)
+    whole = groups.join(roots.hint("merge"), "item", "left").select("fp", F.coalesce("root", "item").alias("root"))
+    own = cut(rows.select("rid", F.col("row.doc_id").alias("doc_id"), "fp").join(whole.hint("merge"), "fp").select("rid", "doc_id", "root"))
+    best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    out = own.join(best.hint("merge"), "root").select("rid", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
+    return rows, out
 
 
 def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id, fp, class_id (smallest doc_id of the class), n_links (verified links of the row's words), kept."""
-    rows = cut(_sketched(docs, like))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("doc_id", "n_words", "keys")).alias("one"))
-    reps = cut(reps.select("fp", F.xxhash64("fp").alias("item"), "rep", "n", F.col("one.n_words").alias("n_words"), F.col("one.keys").alias("keys")))
-    held = reps.filter("n_words > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "item", F.col("n_words").alias("size"))
-    sizes = reps.select("item", "n_words", "rep")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sizes.select(F.col("item").alias("a"), F.col("n_words").alias("n_a"))
-        b = sizes.select(F.col("item").alias("b"), F.col("n_words").alias("n_b"))
-        a = a.join(pairs.select("a").distinct().hint("merge"), "a")
-        near = pairs.join(b.hint("merge"), "b")
-        near = join_salted(near, a, "a", "b").filter(F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
-        return _verified(near, sizes.select("item", "rep"), docs, like)
-
-    links, roots = linked(held, verify, like)
-    reps = reps.drop("keys").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    ends = links.select(F.col("a").alias("item")).union(links.select("b")).groupBy("item").agg(F.count("*").alias("n_links"))
-    reps = cut(reps.join(ends, "item", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
-    least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = cut(join_salted(reps.select("root", "fp", "n_links", "n"), least, "root", "fp").select("fp", "n_links", "class_id", "n"))
-    return join_bearing_hot(rows.select("doc_id", "fp"), known, ["fp"]).select("doc_id", "fp", "class_id", "n_links", F.equal_null("doc_id", "class_id").alias("kept"))
+    """One row for each of docs: doc_id, class_id (smallest doc_id of the class), kept."""
+    rows, out = _classes(docs.select("doc_id", "text"), like)
+    out = cut(out)
+    discard(rows)
+    return out.drop("rid")
 
 
 def drop_near(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id."""
-    kept = cut(near_classes(docs, like).filter("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, out = _classes(docs, like)
+    kept = cut(out.filter("kept").select("rid"))
+    return rows.select("rid", "row").join(kept.hint("merge"), "rid").select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("fp")
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

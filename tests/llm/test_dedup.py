@@ -163,30 +163,55 @@ def test_components(spark):
 
 
 def test_paragraphs(spark, docs):
-    first, want = {}, defaultdict(list)
+    pieces = {}
     for i, t in corpus():
         for j, line in enumerate((t or "").split("\n")):
-            s = paragraph_dedup.shingles(near_dedup.words_of(line))
-            if not s:
-                continue
-            hit = next((k for k, other in first.items() if paragraph_dedup.jaccard(s, other) >= 0.8), None)
-            if hit is None:
-                first[(i, j)] = s
-            else:
-                want[i].append((j, hit[0]))
+            words = near_dedup.words_of(line)
+            for x, y in paragraph_dedup.paragraphs(line):
+                pieces[(i, j, x, y)] = paragraph_dedup.shingles(words[x:y])
+    root = {k: k for k in pieces}
+    for k, s in pieces.items():
+        hit = next((o for o in pieces if o < k and paragraph_dedup.jaccard(s, pieces[o]) >= 0.8), None)
+        root[k] = root[hit] if hit else k
+    shared, want, keep = defaultdict(int), defaultdict(list), defaultdict(set)
+    for k, r in root.items():
+        shared[k[0]] += list(root.values()).count(r) > 1
+        if r != k:
+            want[k[0]].append(k[1:])
+            keep[k[0]].add(r[0])
     got = {r.doc_id: r for r in paragraph_dedup.decisions(docs).collect()}
-    assert {i: list(r.removed) for i, r in got.items() if r.removed} == {i: [j for j, _ in v] for i, v in want.items()}
-    assert all(sorted({k for _, k in v}) == list(got[i].keep_ids) for i, v in want.items())
+    assert len(got) == len(corpus())
+    assert {i: sorted(map(tuple, r.removed)) for i, r in got.items() if r.removed} == {i: sorted(v) for i, v in want.items()}
+    assert all(r.n_shared == shared[i] and set(r.keep_ids) == keep[i] for i, r in got.items())
     kept = {r.doc_id: r.text for r in paragraph_dedup.drop_paragraphs(docs).collect()}
     for i, t in corpus():
-        gone = {j for j, _ in want[i]}
-        assert kept[i] == (t if not gone else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone))
+        assert kept[i] == (t if not want[i] else paragraph_dedup.without(t, want[i]))
+    # a passage that begins and ends inside other lines is found there too
+    n = len(corpus())
+    assert all(any(root[k] != k for k in pieces if k[0] == i) for i in range(n) if corpus()[i][1] and corpus()[i][1].startswith("é" * 80))
     assert paragraph_dedup.decisions(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_paragraphs_of_odd_rows(spark):
+    line = prose(random.Random(3), 30)
+    rows = [(None, line, 1, b"x"), (2, line, 2, None), (2, line, 3, None), (2, "other\n" + line, 4, None), (1, None, 5, None), (7, "", 6, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, removed int, fp binary")
+    got = sorted((str(r.doc_id), r.n_shared, len(r.removed), list(r.keep_ids)) for r in paragraph_dedup.decisions(df).collect())
+    assert got[:2] == [("1", 0, 0, []), ("2", len(paragraph_dedup.paragraphs(line)), 0, [])] and got[4][1:] == (0, 0, []) and got[5][0] == "None" and got[5][3] == [2]
+    out = {r.removed: r.text for r in paragraph_dedup.drop_paragraphs(df).collect()}
+    assert out == {1: "", 2: line, 3: line, 4: "other", 5: None, 6: ""}
+
+
+def test_cutting_paragraphs_out():
+    text = "one, two three\nfour five! six seven.\nend"
+    assert paragraph_dedup.without(text, [(1, 0, 2)]) == "one, two three\nsix seven.\nend"
+    assert paragraph_dedup.without(text, [(1, 2, 4), (0, 0, 3)]) == "four five! \nend"
+    assert paragraph_dedup.without(text, [(0, 0, 3), (1, 0, 4), (2, 0, 1)]) == ""
+
+
 def test_bands():
     n, rows = paragraph_dedup.bands()
-    assert 1 - (1 - 0.8**rows) ** n >= 0.999
+    assert 1 - (1 - 0.8**rows) ** n >= paragraph_dedup.RECALL
     with pytest.raises(ValueError, match="recall"):
         paragraph_dedup.bands(0.1, 0.999999, 2)
 

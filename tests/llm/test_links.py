@@ -1,26 +1,52 @@
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from silvaflow.llm import links
 
 
-@pytest.mark.parametrize("crowded", [0, 1000])
-def test_no_pair_of_a_hot_key_is_left_out(spark, monkeypatch, crowded):
-    monkeypatch.setattr(links, "BLOCK", 16)
-    monkeypatch.setattr(links, "CROWDED", crowded)
-    big, pairs, lone = range(100, 200), [(1000 + i, 2000 + i) for i in range(12)], range(3000, 3010)
+@pytest.mark.parametrize("block", [16, 4096])
+def test_no_pair_of_a_hot_key_is_left_out(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "BLOCK", block)
+    big, pairs, lone = range(100, 200), [(1000 + i, 2000 + i) for i in range(20)], range(3000, 3010)
     kin = {i: 0 for i in big} | {i: 1 + k for k, p in enumerate(pairs) for i in p} | {i: -i for i in lone}
-    held = [(key, i, 10) for key in range(4) for i in kin] + [(9, 5000, 10), (9, 5001, 13)]
-    seen = []
+    held = [(key, i, 10) for key in range(2) for i in kin] + [(9, 5000, 10), (9, 5001, 20), (8, 5002, 10)]
+    rows = links.counted(links.classed(links.crowded(spark.createDataFrame(held, "key long, item long, size int")), 0.8))
+    assert 5000 not in {r.item for r in rows.collect()}
 
-    def verify(found):
-        rows = [(r.a, r.b) for r in found.collect()]
-        seen.extend(tuple(sorted(r)) for r in rows)
-        return spark.createDataFrame([r for r in rows if kin.get(*r[:1]) == kin.get(r[1], "none")], "a long, b long")
+    def work(batches):
+        for cell in links.each_cell(batches):
+            item = cell["item"]
+            found = links.spanning(cell, item.copy(), lambda x, y: y, lambda x, y: kin[item[x]] == kin[item[y]])
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(item[a]), pa.array(item[b])], ["a", "b"])
 
-    _, roots = links.linked(spark.createDataFrame(held, "key long, item long, size int"), verify, 0.8)
-    got = {r.item: r.root for r in roots.collect()}
+    found = links.cells(rows).select(*links.CELL, "side", "item").mapInArrow(work, "a long, b long")
+    assert found.count() < 4 * len(kin) * (7 if block == 16 else 1)
+    got = {r.item: r.root for r in links.components(found).collect()}
     assert got == {i: 100 for i in big} | {i: a for a, b in pairs for i in (a, b)}
-    assert len(seen) == len(set(seen))
-    assert {(a, b) for a, b in combinations(sorted(kin), 2) if kin[a] != kin[b]} <= set(seen)
+
+
+def test_every_two_items_of_a_key_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 8)
+    rows = spark.range(50).select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("class"), F.col("id").alias("item"), F.lit(50).alias("n"))
+    seen = []
+
+    def gather(batches):
+        for cell in links.each_cell(batches):
+            labels = cell["item"].copy()
+            for x in range(len(labels)):
+                for y in links.partners(cell, labels, x):
+                    yield pa.RecordBatch.from_pydict({"a": [int(labels[x])], "b": [int(labels[y])]})
+
+    seen = [tuple(sorted((r.a, r.b))) for r in links.cells(rows).select(*links.CELL, "side", "item").mapInArrow(gather, "a long, b long").collect()]
+    assert sorted(seen) == list(combinations(range(50), 2))
+
+
+def test_size_classes_hold_every_pair_that_may_be_alike():
+    small = np.arange(1, 30_000)
+    assert (links.size_class(np.floor(small / 0.8 + 1e-9), 0.8) - links.size_class(small, 0.8)).max() <= 1

@@ -27,28 +27,30 @@ import hashlib
 import operator
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, release, slices, written
+from .common import cut, discard, only, release, slices, written
 from .links import CELL, cells, classed, components, counted, crowded, each_cell, partners, spanning
+from .pretokens import plain
 
 K, LIKE, RECALL, PICKED = 2, 0.8, 0.999, 2
-WORD = regex.compile(r"[\p{L}\p{N}]+")
 SLICE = 1 << 20
 #: As many texts at most follow one copy of their leader's.
 TOGETHER = 256
 #: Bins of a bag of words, as stored and as made for the rows of one cell.
-BINS, MANY_BINS = 256, 4096
+BINS, MANY_BINS = 512, 4096
+FAR = np.uint64((1 << 64) - 1)
 SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, 65)], np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The lower-cased runs of letters and numbers of text."""
+    return plain(text).split() if text else []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,17 +131,15 @@ def sketches(ids: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int = K,
         if j == 0 or len(some) < len(starts):
             own = h[((pieces > 0) & (counts > j))[doc]]
             starts = np.concatenate([[0], np.cumsum(pieces[some])[:-1]])
-            spread = np.repeat(np.arange(len(some)), pieces[some])
             n_own = len(own)
-        v = _mixed(own ^ SEEDS[j])
+            low = np.uint64((1 << max(16, n_own.bit_length())) - 1)
+            at = np.arange(n_own, dtype=np.uint64)
+        v = own * SEEDS[j] & ~low | at  # the order of the pieces, and where each is
         chosen = np.zeros((len(some), picked), np.int64)
         for p in range(picked):
             least = np.minimum.reduceat(v, starts)
-            hits = np.flatnonzero(v == least[spread])
-            at = np.full(len(some), n_own, np.int64)
-            np.minimum.at(at, spread[hits], hits)
-            chosen[:, p] = at
-            v[at] = np.uint64(2**64 - 1)
+            chosen[:, p] = np.where(least == FAR, chosen[:, 0], least & low)
+            v[chosen[:, p]] = FAR
         chosen.sort(axis=1)  # in text order; a document with fewer pieces repeats one
         key = np.full(len(some), SEEDS[j + 1], np.uint64)
         for p in range(picked):
@@ -241,7 +241,7 @@ def _sketched(docs: DataFrame, like: float) -> DataFrame:
                 rows.append(words)
                 short.append(np.array(short_keys(words, like), np.uint64))
             size = np.fromiter(map(len, rows), np.int64, len(rows))
-            ids = np.fromiter((known[w] for r in rows for w in r), np.uint64, int(size.sum()))
+            ids = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), np.uint64, int(size.sum()))
             first = np.concatenate([[0], np.cumsum(size)])
             n = wanted[np.minimum(size, LONG)]
             extra = np.fromiter(map(len, short), np.int64, len(short))
@@ -273,8 +273,9 @@ def _maybe(pairs: DataFrame, items: DataFrame, like: float) -> DataFrame:
             least = at_least(_bag(batch.column("bag_a")), _bag(batch.column("bag_b")))
             yield batch.select(["a", "b"]).filter(pa.array((least <= edits(np.maximum(a, b), like)) & (np.abs(a - b) <= edits(np.maximum(a, b), like))))
 
+    plain_pairs = pairs
     for c in ("a", "b"):
-        own = items.select(F.col("item").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
+        own = only(items, plain_pairs.select(F.col(c).alias("item")), "item").select(F.col("item").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
         pairs = pairs.join(own.hint("merge"), c)
     return pairs.mapInArrow(work, "a long, b long")
 
@@ -297,7 +298,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     members = pairs.join(degree.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("first"), F.col("b").alias("item"))
     leaders = degree.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("first"), F.col("a").alias("item"))
-    found = texts.join(members.unionByName(leaders).hint("merge"), "item").select("a", "b", "salt", "first", "text")
+    need = cut(members.unionByName(leaders))
+    found = only(texts, need, "item").join(need.hint("merge"), "item").select("a", "b", "salt", "first", "text")
     return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("first"), "b").mapInArrow(work, "a long, b long")
 
 
@@ -332,7 +334,7 @@ def _cell_links(rows: DataFrame, like: float) -> DataFrame:
         for cell in each_cell(batches):
             words = [words_of(t) for t in cell["text"]]
             size = cell["size"]
-            bag = bags(np.fromiter((known[w] for r in words for w in r), np.uint64, sum(map(len, words))), size, MANY_BINS)
+            bag = bags(np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words))), size, MANY_BINS)
 
             def near(x: int, y: np.ndarray) -> np.ndarray:
                 most = edits(np.maximum(size[y], size[x]), like)
@@ -346,22 +348,28 @@ def _cell_links(rows: DataFrame, like: float) -> DataFrame:
     return rows.repartition(*CELL).sortWithinPartitions(*CELL, "item").select(*CELL, "side", "item", "size", "root", "text").mapInArrow(work, "a long, b long")
 
 
-def _roots(items: DataFrame, texts: DataFrame, like: float) -> DataFrame:
-    """item, root of the items that have links."""
-    spark = items.sparkSession
-    held = items.select("item", F.col("n_words").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
-    crowd = cut(counted(classed(crowded(held), like)))
+def _roots(rows: DataFrame, items: DataFrame, like: float) -> DataFrame:
+    """item, root of the items that have links; rows has the data of each item and of other rows."""
+    spark = rows.sparkSession
+    bag, texts = rows.select("item", "n_words", "bag"), rows.select("item", F.col("row.text").alias("text"))
+    held = written(rows.select("item", "n_words", "keys").join(items.hint("merge"), "item"))
+    release(spark)
+    crowd = written(counted(classed(crowded(held.select("item", F.col("n_words").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))), like)))
+    discard(held)
     release(spark)
     led = crowd.groupBy("key", "class").agg(F.min("item").alias("a"))
-    pairs = crowd.join(led.hint("merge"), ["key", "class"]).filter("a != item").select("a", F.col("item").alias("b")).distinct()
-    links = cut(_verified(cut(_maybe(pairs, items, like)), texts, like))
+    pairs = cut(crowd.join(led.hint("merge"), ["key", "class"]).filter("a != item").select("a", F.col("item").alias("b")).distinct())
+    links = cut(_verified(cut(_maybe(pairs, bag, like)), texts, like))
     release(spark)
     roots = cut(components(links))
     now = crowd.drop("n").join(roots.hint("merge"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     apart = now.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("key", "class", "n")
-    live = now.join(apart.hint("merge"), ["key", "class"]).join(items.select("item", "bag").hint("merge"), "item")
-    flagged = cut(_flagged(live, like))
-    more = _cell_links(flagged.join(texts.hint("merge"), "item"), like)
+    live = written(now.join(apart.hint("merge"), ["key", "class"]))
+    discard(crowd)
+    flagged = cut(_flagged(live.join(only(bag, live, "item").select("item", "bag").hint("merge"), "item"), like))
+    discard(live)
+    release(spark)
+    more = _cell_links(flagged.join(only(texts, flagged, "item").hint("merge"), "item"), like)
     stars = roots.filter("root != item").select(F.col("root").alias("a"), F.col("item").alias("b"))
     return cut(components(cut(stars.unionByName(more))))
 
@@ -370,9 +378,7 @@ def _classes(docs: DataFrame, like: float) -> tuple[DataFrame, DataFrame]:
     """The written rows of docs (row, rid), and for each its rid, class_id and kept."""
     rows = written(_sketched(docs, like).withColumn("rid", F.monotonically_increasing_id()))
     groups = cut(rows.groupBy("fp").agg(F.min("rid").alias("item")))
-    items = written(rows.join(groups.select(F.col("item").alias("rid")).hint("merge"), "rid").select(F.col("rid").alias("item"), "n_words", "bag", "keys"))
-    roots = _roots(items, rows.select(F.col("rid").alias("item"), F.col("row.text").alias("text")), like)
-    discard(items)
+    roots = _roots(rows.withColumnRenamed("rid", "item"), groups.select("item"), like)
     whole = groups.join(roots.hint("merge"), "item", "left").select("fp", F.coalesce("root", "item").alias("root"))
     own = cut(rows.select("rid", F.col("row.doc_id").alias("doc_id"), "fp").join(whole.hint("merge"), "fp").select("rid", "doc_id", "root"))
     best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))

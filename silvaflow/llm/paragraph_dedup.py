@@ -24,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, release, slices, written
+from .common import cut, discard, only, release, slices, written
 from .links import CELL, cells, classed, components, counted, crowded, each_cell, spanning
-from .near_dedup import SEEDS, WORD, _Ids, _mixed, at_least, bags, words_of
+from .near_dedup import SEEDS, _Ids, _mixed, at_least, bags, words_of
+from .pretokens import plain
 
+WORD = regex.compile(r"[\p{L}\p{N}]+")
 K, LIKE, RECALL, MOST_BANDS, REACH = 5, 0.8, 0.98, 4, 12
 #: Cells of so many rows at most compare shingles without bags first; bins of a bag of shingles.
 FEW, BINS = 8, 1024
@@ -124,8 +127,8 @@ def _paragraphs(rows: DataFrame, n: int, per: int) -> DataFrame:
         for batch in slices(batches, most=SLICE):
             of, place, size, words = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for j, line in enumerate((text or "").lower().split("\n")):
-                    own = WORD.findall(line)
+                for j, line in enumerate(plain(text or "").split("\n")):
+                    own = line.split()
                     if len(own) >= K:
                         words += own
                         of.append(i)
@@ -217,11 +220,12 @@ def repeated_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     groups = written(found.groupBy("ident").agg(F.min("rid").alias("item"), F.count("*").alias("n")))
     items = written(found.join(groups.select(F.col("item").alias("rid")).hint("merge"), "rid").select(F.col("rid").alias("item"), F.col("size").cast("long").alias("size"), "keys"))
     release(spark)
-    crowd = cut(counted(classed(crowded(items.select("item", "size", F.explode(F.array_distinct("keys")).alias("key"))), like)))
+    crowd = written(counted(classed(crowded(items.select("item", "size", F.explode(F.array_distinct("keys")).alias("key"))), like)))
     discard(items)
     release(spark)
     bodies = found.select(F.col("rid").alias("item"), "body")
-    links = cut(_cell_links(crowd.join(bodies.hint("merge"), "item"), like))
+    links = cut(_cell_links(crowd.join(only(bodies, crowd, "item").hint("merge"), "item"), like))
+    discard(crowd)
     release(spark)
     roots = cut(components(links))
     known = groups.join(roots.hint("merge"), "item", "left").filter("n > 1 or root is not null").select("ident", F.coalesce("root", "item").alias("class_id"))

@@ -35,6 +35,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@cache
+def _plain() -> np.ndarray:
+    """For each code point itself if it is a letter, a number or a line feed, else a blank."""
+    table, kind = np.arange(0x110000, dtype=np.uint32), classes()
+    table[(kind != LETTER) & (kind != NUMBER)] = 32
+    table[10] = 10
+    return table
+
+
+def plain(text: str) -> str:
+    """text in lower case, with a blank for all that is no letter, number or line feed."""
+    return _plain()[code_points(text.lower())].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def byte_level_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Where the pre-tokens of the byte-level pattern begin in cp, the texts that begin at doc_starts one after another:
 

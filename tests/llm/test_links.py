@@ -50,3 +50,16 @@ def test_every_two_items_of_a_key_meet_once(spark, monkeypatch):
 def test_size_classes_hold_every_pair_that_may_be_alike():
     small = np.arange(1, 30_000)
     assert (links.size_class(np.floor(small / 0.8 + 1e-9), 0.8) - links.size_class(small, 0.8)).max() <= 1
+
+
+def test_only_loses_no_needed_row(spark, monkeypatch):
+    from silvaflow.llm import common
+
+    rows = spark.range(20_000).select((F.col("id") * 7919 - 50_000).alias("item"), F.col("id").cast("string").alias("x"))
+    needed = rows.filter("item % 40 = 0").select("item")
+    got = [r.item for r in common.only(rows, needed, "item").collect()]
+    want = {r.item for r in needed.collect()}
+    assert want <= set(got) and len(got) == len(set(got)) < 1.1 * len(want)
+    monkeypatch.setattr(common, "MAP_BITS", 1 << 16)
+    assert want <= {r.item for r in common.only(rows, needed, "item").collect()}
+    assert common.only(rows, needed.limit(0), "item").count() == 0

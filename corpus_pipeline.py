@@ -30,8 +30,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates ask for (operator 10)."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents whose rates ask for them (operator 10). None comes twice: the stages before have just taken copies out, and
+    what is left of a scarce domain isn't repeated to reach its target."""
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), most=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

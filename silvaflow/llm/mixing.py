@@ -1,20 +1,23 @@
 """Mixing to target weights with soft membership.
 
-A classifier trained on the table of labels gives each document a posterior over domains (clean, poor, toxic). Rates r >= 0,
-one for each document, minimise
+A classifier trained on the table of labels gives each document a posterior over domains (clean, poor, toxic). Rates r, one
+for each document, from 0 to a documented ceiling (MOST), minimise
 
     sum over domains d of (sum_i r_i n_i p_id / T - w_d)^2 / s_d + RIDGE * sum_i n_i / T * (r_i - 1)^2
 
 (n tokens, p posteriors, w target weights, T the total aimed at, s_d what there is of d, as a share of T) by projected
-gradient steps in the metric n_i / T, in which the first term's curvature is at most one. A step
-needs only the residuals of the domains, one aggregation over the posteriors; a document's rate follows from its posterior
-and the residuals so far, so that no rates are stored between steps. T is such that the domain ANCHOR, clean documents, is
-asked for as many tokens as it has: its documents stay at rates of about one.
+gradient steps in the metric n_i / T, in which the first term's curvature is at most one, with Nesterov's acceleration, until
+the residuals move by less than CLOSE. A step needs only the residuals of the domains, one aggregation over the posteriors; a
+document's rate follows from its posterior and the residuals so far, so that no rates are stored between steps. T is such
+that the domain ANCHOR, clean documents, is asked for as many tokens as it has: its documents stay at rates of about one.
+Where a domain is scarce the ceiling keeps its documents from being repeated without bound, and its target is missed;
+shares() reports targets and what was reached.
 
 Tokens are words by white space. The classifier is fitted on at most TRAIN labelled documents of at most TRAIN_CHARS
-characters, those of least hash of doc_id; everything else covers all rows. Without labels of two domains, or without
-documents of the anchor, all rates are one. Null text counts as empty. Repeated rows and null doc_ids are rows like others.
-An empty table gives an empty result.
+characters, those of least hash of doc_id, one row for each id; everything else covers all rows and whole texts. Without
+labels of two domains, or without documents of the anchor, all rates are one. Null text counts as empty. Rows equal in doc_id
+and text have the same rate and number of copies; null doc_ids are ids like others, but are never trained on. Ties don't
+arise: rates are rounded by a hash. Other columns stay as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ DOMAINS = ["clean", "poor", "toxic"]
 TARGETS = {"clean": 0.98, "poor": 0.02, "toxic": 0.0}
 ANCHOR = "clean"
 TRAIN, TRAIN_CHARS, FEATURES = 2000, 20_000, 1500
-RIDGE, STEPS = 0.02, 30
+RIDGE, MOST, CLOSE, STEPS = 0.02, 2.0, 1e-5, 400
 SLICE = 1 << 21
 
 
@@ -109,80 +112,130 @@ def trained(docs: DataFrame, labels: DataFrame) -> Domains | None:
     # a label counts if its document is there; by hash, so that more documents bring others in, not more
     ids = texts.select("doc_id").join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: r.text)}.values(), key=lambda r: r.doc_id)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("y").alias("y")).collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows], np.int64)
     return Domains([r.text for r in rows], y) if len(set(y.tolist())) > 1 else None
 
 
+def _judge(model: Domains | None, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, and posteriors (texts x domains)."""
+    if model is None:
+        return np.array([len(t.split()) for t in texts], np.int64), np.tile(np.eye(len(DOMAINS))[0], (len(texts), 1))
+    return model.posteriors(texts)
+
+
+def _chance(docs: DataFrame) -> Column:
+    """A number in [0, 1) for each doc_id and text."""
+    return F.pmod(F.xxhash64(F.lit(17), docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit("")))), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def _posteriors(docs: DataFrame, model: Domains | None) -> DataFrame:
-    """All columns of docs but text, with n_tokens and the posteriors p_<domain>."""
+    """doc_id, chance, n_tokens and the posteriors p_<domain>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            if model is None:
-                n, p = np.array([len(t.split()) for t in texts], np.int64), np.tile(np.eye(len(DOMAINS))[0], (len(texts), 1))
-            else:
-                n, p = model.posteriors(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(n), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], ["doc_id", "fp", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+            n, p = _judge(model, [x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chance"), pa.array(n), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], ["doc_id", "chance", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, fp long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return docs.select("doc_id", _chance(docs).alias("chance"), "text").mapInArrow(work, f"doc_id {kind}, chance double, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+
+
+class Rates:
+    """The rates that projected-gradient steps from one, with these residuals, lead to."""
 
+    def __init__(self, names: list[str], ridge: float, most: float):
+        self.names, self.ridge, self.most, self.residuals = names, ridge, most, []
+        self.step = 1 / (1 + ridge)
+        self.ahead = (1 - np.sqrt(ridge * self.step)) / (1 + np.sqrt(ridge * self.step))
+
+    def state(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of posteriors (rows x names): the rates, and the points of the next step (rates and a share of their last move)."""
+        r = y = np.ones(len(p))
+        for e in self.residuals:
+            to = np.clip(y - self.step * (p @ e + self.ridge * (y - 1)), 0, self.most)
+            r, y = to, to + self.ahead * (to - r)
+        return r, y
+
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(f"p_{d}").to_numpy() for d in self.names], axis=1)
+
+
+def _totals(posteriors: DataFrame, rates: Rates, ahead: bool) -> np.ndarray:
+    """The tokens of each domain at the rates (or at the points ahead of them); one row leaves each task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(rates.names))
+        for batch in batches:
+            p = rates.of(batch)
+            total += (rates.state(p)[ahead] * batch.column("n_tokens").to_numpy()) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"t{k}" for k in range(len(total))])
 
-def rates(posteriors: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, ridge: float = RIDGE, steps: int = STEPS) -> DataFrame:
-    """posteriors (n_tokens, p_<domain> for the domains of targets) with the column rate."""
+    kind = ", ".join(f"t{k} double" for k in range(len(rates.names)))
+    sums = posteriors.mapInArrow(work, kind).agg(*(F.sum(f"t{k}") for k in range(len(rates.names)))).first()
+    return np.array([x or 0.0 for x in sums])
+
+
+def fitted(posteriors: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, ridge: float = RIDGE, most: float = MOST, steps: int = STEPS) -> Rates:
+    """The rates for posteriors (n_tokens, p_<domain> for the domains of targets). steps only guards against rounding that
+    never comes to rest."""
     targets = targets or TARGETS
-    names = list(targets)
-    weights = np.array([targets[d] for d in names], float)
+    rates = Rates(list(targets), ridge, most)
+    weights = np.array(list(targets.values()), float)
     weights = weights / weights.sum()
-    expected = [F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in names]
-    supply = np.array([x or 0.0 for x in posteriors.agg(*expected).first()])
-    if supply[names.index(anchor)] <= 0 or weights[names.index(anchor)] <= 0:
-        return posteriors.withColumn("rate", F.lit(1.0))
-    total = supply[names.index(anchor)] / weights[names.index(anchor)]
-    step = 1 / (1 + ridge)
-    ahead = (1 - np.sqrt(ridge * step)) / (1 + np.sqrt(ridge * step))
+    supply = _totals(posteriors, rates, False)
+    k = rates.names.index(anchor)
+    if supply[k] <= 0 or weights[k] <= 0:
+        return rates
+    total = supply[k] / weights[k]
     share = np.maximum(supply / total, 1e-6)
-    residuals: list[np.ndarray] = []
-
-    def state() -> Column:
-        """r, the rate, and y, the point of the next step: r and a share of r's last move (Nesterov's acceleration)."""
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-        if not residuals:
-            return start
-        past = F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in residuals))
-        pull = lambda e: sum((F.col(f"p_{d}") * e[k] for k, d in enumerate(names)), F.lit(0.0))
-        to = lambda s, e: F.greatest(F.lit(0.0), s.y - step * (pull(e) + ridge * (s.y - 1)))
-        return F.aggregate(past, start, lambda s, e: F.struct(to(s, e).alias("r"), (to(s, e) + ahead * (to(s, e) - s.r)).alias("y")))
-
     for _ in range(steps):
-        r = state().y
-        got = np.array([x or 0.0 for x in posteriors.agg(*(F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")) for d in names)).first()])
-        gap = got / total - weights
-        gap = np.round(gap / share, 9)
-        if residuals and np.abs(gap - residuals[-1]).max() < 1e-5:
+        gap = np.round((_totals(posteriors, rates, True) / total - weights) / share, 9)
+        if len(rates.residuals) > 1 and np.abs(gap - rates.residuals[-1]).max() < CLOSE and np.abs(gap - rates.residuals[-2]).max() < CLOSE:
             break
-        residuals.append(gap)
-    return posteriors.withColumn("rate", state().r)
+        rates.residuals.append(gap)
+    return rates
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row for each of docs: doc_id, fp, n_tokens, posteriors, rate and n_copies, the rate rounded up with the
+def shares(posteriors: DataFrame, rates: Rates) -> dict[str, float]:
+    """The share of tokens that each domain has at the rates; where it is below its target, the domain is too scarce."""
+    got = _totals(posteriors, rates, False)
+    return dict(zip(rates.names, (got / max(got.sum(), 1e-300)).tolist(), strict=True))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
+    """One row for each of docs: doc_id, n_tokens, posteriors, rate and n_copies, the rate rounded up with the
     probability of its fraction, drawn by a hash of doc_id and text."""
     posteriors = cut(_posteriors(docs, trained(docs, labels)))
-    chance = F.pmod(F.xxhash64(F.lit(17), "doc_id", "fp"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rates(posteriors, targets).withColumn("n_copies", F.floor(F.col("rate") + chance).cast("int"))
+    rates = fitted(posteriors, targets, most=most)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = rates.state(rates.of(batch))[0]
+            copies = np.floor(r + batch.column("chance").to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(copies)], [*batch.schema.names, "rate", "n_copies"])
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs, each row as many times as its n_copies says."""
-    chosen = cut(mixed(docs, labels, targets).select("doc_id", "fp", "n_copies").distinct())
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(chosen, F.equal_null(docs.doc_id, chosen.doc_id) & (key == chosen.fp)).filter("n_copies > 0")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("__copy")).drop("__copy")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in posteriors.schema.fields)
+    return posteriors.mapInArrow(work, f"{kind}, rate double, n_copies int").drop("chance")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
+    """docs, each row as many times as its n_copies says. Posteriors are made once for the rates and once more here, so that
+    no text is shuffled."""
+    model = trained(docs, labels)
+    rates = fitted(cut(_posteriors(docs, model)), targets, most=most)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=SLICE):
+            _, p = _judge(model, [x or "" for x in batch.column("text").to_pylist()])
+            r = rates.state(p[:, [DOMAINS.index(d) for d in rates.names]])[0]
+            copies = np.floor(r + batch.column("chance").to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.repeat(np.arange(len(copies)), copies)))], ["row"])
+
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.select(row, _chance(docs).alias("chance"), docs["text"])
+    return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Texts as arrays of code points, cut into pre-tokens that are then counted once each.
 
 A batch of texts is one array of code points. Rules over arrays say where pre-tokens begin; equal pre-tokens are found by
-two 64-bit hashes (one sorts, the other confirms), so that tokenizers see each distinct pre-token of a batch once.
+two 64-bit hashes (one sorts, the other confirms; of long ones they are the halves of a cryptographic hash), so that tokenizers see each distinct pre-token of a batch once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import cache
 
@@ -136,6 +137,10 @@ def _mix(cp: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer spans are hashed by blake2b: polynomials modulo 2^64 have equal values for some different spans of 1024 and more.
+SIMPLE = 64
+
+
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each span of cp, equal for equal contents wherever they lie."""
     size = 1 << max(16, int(len(cp)).bit_length())
@@ -148,6 +153,9 @@ def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         h = (s[ends] - s[starts]) * q[starts]
         h ^= h >> np.uint64(31)
         out.append(h * np.uint64(0x94D049BB133111EB))
+    for i in np.flatnonzero(ends - starts > SIMPLE).tolist():
+        digest = hashlib.blake2b(cp[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[0][i], out[1][i] = np.frombuffer(digest, np.uint64)
     return out[0], out[1]
 
 

@@ -88,10 +88,10 @@ def test_mixing(spark):
     n, p = np.array([r.n_tokens for r in got], float), np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in got])
     w, supply = np.array(list(mixing.TARGETS.values())), n @ p
     t, rate = supply[0] / w[0], np.ones(len(got))
-    for _ in range(4000):
+    for _ in range(8000):
         gap = (rate * n) @ p / t - w
-        rate = np.maximum(0, rate - 0.5 * (p @ (gap / (supply / t)) + mixing.RIDGE * (rate - 1)))
-    assert np.abs(rate - np.array([r.rate for r in got])).max() < 0.05
+        rate = np.clip(rate - 0.5 * (p @ (gap / (supply / t)) + mixing.RIDGE * (rate - 1)), 0, mixing.MOST)
+    assert np.abs(rate - np.array([r.rate for r in got])).max() < 0.02
     out = mixing.mix(docs, table)
     assert out.columns == docs.columns and out.count() == sum(r.n_copies for r in got)
     alone = mixing.mixed(docs, table.limit(0)).collect()
@@ -100,6 +100,31 @@ def test_mixing(spark):
     assert mixing.mixed(odd, table).count() == 3 and mixing.mixed(docs.limit(0), table).count() == 0
 
 
+def test_a_scarce_domain_is_not_repeated_without_bound(spark):
+    rows = [(i, 0.5, 100, *((0.02, 0.98, 0.0) if i < 5 else (0.1, 0.0, 0.9) if i < 10 else (0.99, 0.01, 0.0))) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, chance double, n_tokens long, p_clean double, p_poor double, p_toxic double")
+    n, p = np.array([r[2] for r in rows], float), np.array([r[3:] for r in rows])
+    for most in (1.0, 2.0):
+        found = mixing.fitted(table, {"clean": 0.8, "poor": 0.2, "toxic": 0.0}, most=most)
+        r = found.state(p)[0]
+        assert r.max() <= most and r[:5].min() > most - 1e-6 and r[5:10].max() < 0.1 and r[10:].min() > 0.9
+        got = mixing.shares(table, found)
+        assert got["poor"] < 0.05 and sum(got.values()) == pytest.approx(1)
+        w = np.array([0.8, 0.2, 0.0])
+        total, rate = (n @ p)[0] / w[0], np.ones(len(p))
+        share = np.maximum(n @ p / total, 1e-6)
+        for _ in range(6000):
+            rate = np.clip(rate - 0.5 * (p @ (((rate * n) @ p / total - w) / share) + mixing.RIDGE * (rate - 1)), 0, most)
+        assert np.abs(rate - r).max() < 0.01
+
+
+def test_mixing_keeps_columns_and_rows(spark):
+    rows = [(None, "a b", 1, 5), (3, "c d", 2, 6), (3, "c d", 3, 7), (3, None, 4, 8)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_copies int, rate int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(mixing.mix(docs, labels).collect(), key=lambda r: r.rate) == sorted(docs.collect(), key=lambda r: r.rate)
+
+
 def test_licences(spark):
     model = license_scan.Licences(["plain words of a page", "another page with words"])
     assert model.held_out_accuracy > 0.9

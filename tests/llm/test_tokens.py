@@ -98,3 +98,22 @@ def test_files_of_empty_and_null_ids(spark, tmp_path):
     odd = spark.createDataFrame([(None, "a", "", ""), (1, None, "", ""), (1, "b", "", "")], SCHEMA)
     rows = token_files.read_tokens(spark, *token_files.write_tokens(odd, BYTE, f"file://{tmp_path}/b")).collect()
     assert sorted((r.doc_id is None, r.n_tokens) for r in rows) == [(False, 1), (False, 2), (True, 2)]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_with_equal_polynomials_are_told_apart(n):
+    a, b = thue_morse(n)
+    library = Tokenizer.from_file(BYTE)
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in (a, b)]
+    assert bpe.encode_texts([a, b], BYTE) == want and token_files.encode_texts([a, b], BYTE) == want
+    processor = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert token_counts.count_texts([a, b], PIECE).tolist() == [len(processor.encode(x)) for x in (a, b)]
+    from silvaflow.llm.quality_rules import text_statistics
+
+    text = " ".join([a, "1 2 3 4 5 6 7", b, "1 2 3 4 5 6 7"])
+    assert text_statistics([text])["n_repeat_words"].tolist() == [0]

@@ -7,7 +7,8 @@ names stand for contents, never for hashes of them.
 
 Null text counts as empty; an empty text has one empty block. Rows that share a doc_id are told apart by their text,
 rows that share both count as so many members of their group. A null doc_id is an id like others, but stays only where
-the whole group has none. Other columns of the input are ignored. An empty table gives an empty result.
+the whole group has none. Very long texts are cut into blocks like others; ties don't arise. Other columns of the input stay
+as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,15 +94,16 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text equals that of a row with a smaller doc_id; of rows that share doc_id and text,
     one stays."""
-    kept = cut(exact_groups(docs).filter("kept"))
-    fp = F.xxhash64(normalised(F.col("text")).cast("binary"))
-    key = F.xxhash64("doc_id", fp)
-    many = kept.filter("copies > 1").select(F.xxhash64("doc_id", "fp").alias("__key"))
-    out = docs.withColumn("__key", key).join(kept.select(F.xxhash64("doc_id", "fp").alias("__key")), "__key", "left_semi")
+    kept = cut(exact_groups(docs).filter("kept").select("doc_id", "fp", "copies"))
+    own = F.xxhash64(normalised(docs["text"]).cast("binary"))
+    same = lambda other: [F.equal_null(docs["doc_id"], other["doc_id"]), own == other["fp"]]
+    out = docs.join(kept, same(kept), "left_semi")
+    many = kept.filter("copies > 1")
     if many.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(many, "__key", "left_anti")
-    return once.unionByName(out.join(many, "__key", "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
+        return out
+    rows = out.join(many, same(many), "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"], own.alias("fp"))
+    once = rows.groupBy("doc_id", "fp").agg(F.first("row").alias("row")).select("row.*")
+    return out.join(many, same(many), "left_anti").unionByName(once)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

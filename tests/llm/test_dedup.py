@@ -58,6 +58,21 @@ def test_exact_odd_tables(spark):
     got = {(r.doc_id, r.copies): (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()}
     assert got == {(1, 2): (1, 3), (1, 1): (1, 1), (None, 1): (1, 3)}
     assert sorted(r.text for r in exact_dedup.drop_copies(df).collect()) == ["a", "b"]
+    clash = df.withColumnsRenamed({"lang": "copies", "source": "__key"})
+    assert exact_dedup.drop_copies(clash).columns == clash.columns and exact_dedup.drop_copies(clash).count() == 2
+
+
+def test_near_odd_tables(spark):
+    text = prose(random.Random(4), 50)
+    other = text.replace(text.split()[7], "changed")
+    rows = [(None, text, 1, 1), ("b", other, 2, 2), ("b", "something else " + prose(random.Random(5), 40), 3, 3), ("a", None, 4, 4), (None, "", 5, 5), ("b", text, 6, 6), ("b", text, 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, rid int, row int")
+    got = near_dedup.near_classes(df).collect()
+    assert len(got) == 7 and sum(r.kept for r in got) == 3
+    kept = near_dedup.drop_near(df)
+    assert kept.columns == df.columns
+    left = sorted(r.rid for r in kept.collect())
+    assert left[1:] == [3, 4] and left[0] == 2 or left[0] in (3,) and left == [3, 4, 6] or left == [3, 4, 7]
 
 
 def test_suffix_removal_is_brute_force(spark, docs):

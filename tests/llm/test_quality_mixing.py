@@ -49,11 +49,65 @@ def test_outliers(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert all(by[i].kept for i in range(400)) and not any(by[1000 + i].kept for i in range(12))
-    assert by[2000].base_failed and by[2001].base_failed and by[2002].base_failed and by[2003].kept and by[2003].distance is None
+    assert by[2000].base_failed and by[2001].base_failed and by[2002].base_failed and by[2003].kept and by[2003].distance is not None
     assert {r.doc_id for r in quality_rules.drop_poor(docs).collect()} == {r.doc_id for r in got if r.kept}
     assert quality_rules.judged(quality_rules.statistics(docs.limit(0))).count() == 0
 
 
+def plain_mcd(x):
+    """The estimate of one group by the plain algorithm: three starts, concentration to the end, least determinant."""
+    floor = np.array(list(quality_rules.FLOOR.values()))
+    centre = np.median(x, axis=0)
+    spread = np.maximum(1.4826 * np.median(np.abs(x - centre), axis=0), floor)
+    z = (x - centre) / spread
+    starts = [np.diag(spread**2)]
+    for u in (np.tanh(z), z / np.sqrt(np.maximum((z * z).sum(1, keepdims=True), 1e-12)) * np.sqrt(z.shape[1])):
+        starts.append(u.T @ u / len(u) * np.outer(spread, spread))
+    k = quality_rules.COVER / quality_rules.chi2_cdf(quality_rules.chi2_quantile(quality_rules.COVER, 5), 7)
+    found = []
+    for s in starts:
+        m, s = centre, quality_rules.floored(s[None])[0]
+        for _ in range(60):
+            d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+            own = x[d <= np.sort(d)[int(np.ceil(quality_rules.COVER * len(d))) - 1]]
+            m, s = own.mean(0), quality_rules.floored((np.cov(own.T, bias=True) * k)[None])[0]
+        found.append((np.linalg.det(s), m, s))
+    return min(found, key=lambda f: f[0])
+
+
+def test_verdicts_are_those_of_the_plain_algorithm(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        lang, source = [("en", "a"), ("en", "b"), ("fr", None), ("de", "c")][i % 4] if i < 880 else ("xx", "few")
+        n = int(np.exp(rng.normal(5, 0.6))) + 20
+        junk = i % 11 == 0
+        rows.append((i, lang, source, n, int(n * rng.uniform(4, 6) * (3 if junk and i % 2 else 1)), int(n * (0.9 if junk else 0.01) * rng.uniform(0.5, 1.5)), int(n * 0.02 * rng.uniform(0, 1)), int(n * 0.1 * rng.uniform(0, 1)) if i % 50 else n))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.BASE))
+    got = {r.doc_id: r for r in quality_rules.judged(stats).collect()}
+    a = np.array([[r[3], r[4], r[5], r[6], r[7]] for r in rows], float)
+    x = np.stack([np.log1p(a[:, 0]), np.log(a[:, 1] / a[:, 0]), np.sqrt(a[:, 2] / a[:, 1]), np.sqrt(a[:, 3] / a[:, 0]), np.sqrt(a[:, 4] / a[:, 0])], axis=1)
+    failed = 100 * a[:, 4] > 30 * a[:, 0]
+    group = [(r[1], r[2]) if r[0] < 880 else "all" for r in rows]
+    cutoff = quality_rules.chi2_quantile(quality_rules.CUTOFF_P, 5)
+    for g in set(group):
+        of = np.array([y == g for y in group])
+        _, m, s = plain_mcd(x[~failed] if g == "all" else x[of & ~failed])
+        d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+        for i in np.flatnonzero(of):
+            assert got[i].base_failed == failed[i]
+            assert got[i].distance == pytest.approx(d[i], rel=0.1, abs=0.3)
+            if abs(d[i] - cutoff) > 0.1 * cutoff:
+                assert got[i].kept == (not failed[i] and d[i] <= cutoff)
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    rnd = random.Random(2)
+    rows = [(i, prose(rnd, 120), "en", "s", i) for i in range(80)] + [(3, "junk ### " * 40, "en", "s", 100), (None, prose(rnd, 100), "en", "s", 101), (3, None, "en", "s", 102)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, kept int")
+    assert {r.kept for r in quality_rules.drop_poor(docs).collect()} == {*range(80), 101}
+
+
 def test_regression_learns():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(400, 3))

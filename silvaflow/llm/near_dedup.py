@@ -150,9 +150,12 @@ def sketches(ids: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int = K,
 
 def bags(ids: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
     """Counts (255 at most) of the words of each text by bin."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(of * bins + (ids % np.uint64(bins)).astype(np.int64), minlength=len(sizes) * bins)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sizes), bins)
+    out, first, own = np.zeros((len(sizes), bins), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), (ids % np.uint64(bins)).astype(np.int64)
+    for k in range(0, len(sizes), 64):  # a few texts at a time: counts take eight times the bytes
+        p = sizes[k : k + 64]
+        at = np.repeat(np.arange(len(p)) * bins, p) + own[first[k] : first[k + len(p)]]
+        out[k : k + 64] = np.minimum(np.bincount(at, minlength=len(p) * bins), 255).reshape(len(p), bins)
+    return out
 
 
 def at_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -220,7 +223,7 @@ class _Ids(dict):
     """A 64-bit number for each word."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         v = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return v

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..plans.prepare import Fit, bag_size, check_fit, check_name, fail, training_rows
+from ..plans.prepare import Fit, bag_size, check_fit, check_name, training_rows
+from ..plans.rules import fail
 from ..plans.schema import DEPTH_CAP
 from ..sources.tables import resolve
 from .descend import Model, landed
@@ -21,28 +22,28 @@ def _cv(caller: str, table, outcome: str, family: str, grid: list[int], sweep: s
     check_name(caller, table)
     df = resolve(table)
     if family not in FAMILIES:
-        fail(caller, f"family must be 'classification' or 'regression', got {family!r}")
+        fail(caller, "one_of", name="family", value=repr(family), allowed=" or ".join(map(repr, FAMILIES)))
     if outcome not in df.columns:
-        fail(caller, f'outcome column "{outcome}" not found')
+        fail(caller, "no_column", name=outcome, role="outcome")
     if k is None or k < 2:
-        fail(caller, f"k must be >= 2, got {k}")
+        fail(caller, "k", value=k)
     if not grid:
-        fail(caller, f"{sweep}_grid must not be empty")
+        fail(caller, "empty_grid", name=f"{sweep}_grid")
     if sweep == "depth" and (bad := [g for g in grid if not 1 <= g <= DEPTH_CAP]):
-        fail(caller, f"depth_grid values must be between 1 and {DEPTH_CAP}, got {bad[0]}")
+        fail(caller, "grid", name="depth_grid", value=bad[0], most=DEPTH_CAP)
     p = Fit(outcome=outcome, family=family, caller=caller, n_trees=n_trees, mtry=mtry, max_depth=max_depth, min_samples_leaf=min_samples_leaf, sample_frac=sample_frac, seed=seed, criterion="gini" if family == "classification" else "mse")
     check_fit(p, df)
     if sweep == "mtry" and (bad := [g for g in grid if not 1 <= g <= len(p.features)]):
-        fail(caller, f"mtry_grid values must be between 1 and the number of features ({len(p.features)}), got {bad[0]}")
+        fail(caller, "grid", name="mtry_grid", value=bad[0], most=len(p.features))
     rows = training_rows(p, df, order_by)
     n, groups = p.n_train, len(grid) * k
     if n <= k - 1 and n < 2:
-        fail(caller, "too few complete rows for the folds")
+        fail(caller, "few_rows")
     # tree t of group g (grid value g div k, held-out fold g mod k) is numbered g * n_trees + t - 1
     by_fold = lambda f: F.element_at(F.array(*(F.lit(f(h)) for h in range(k))), (F.col("held") + 1).cast("int"))
     in_fold = [len(range(h, n, k)) for h in range(k)]
     if any(n == c for c in in_fold):
-        fail(caller, "too few complete rows for the folds")
+        fail(caller, "few_rows")
     largest = max(bag_size(sample_frac, n - c) for c in in_fold)
     spark = df.sparkSession
     draws = spark.range(1, largest + 1).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(groups * n_trees - 1))))

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..plans.prepare import Fit, check_fit, check_name, fail, training_rows
+from ..plans.prepare import Fit, check_fit, check_name, training_rows
+from ..plans.rules import fail
 from ..sources.tables import resolve
 from .grow import Grower, bagged, with_meta
 
@@ -25,37 +26,37 @@ def _fit(table, outcome: str, family: str, caller: str, order_by: list[str] | No
 def fit_classifier(
     table: DataFrame | str, outcome: str, n_trees: int = 100, mtry: int | None = None, max_depth: int | None = 20, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0,
     sample_frac: float = 1.0, replace_sample: bool = True, criterion: str = "gini", seed: int = 42, weights_col: str | None = None, class_weight: str | None = None, tree_from: int | None = None,
-    tree_to: int | None = None, splitter: str = "best", order_by: list[str] | None = None,
+    tree_to: int | None = None, splitter: str = "best", order_by: list[str] | None = None, features: list[str] | None = None,
 ) -> DataFrame:
     """A classification forest as a model table, one row for each tree node. Every other column of table is a feature (numbers,
-    booleans, strings). order_by are keys that number the rows (bags are drawn by number); without them rows are numbered
+    booleans, strings), or those that features names; a row with a null in any column is left out either way. order_by are keys that number the rows (bags are drawn by number); without them rows are numbered
     as Spark reads them."""
-    return _fit(table, outcome, "classification", "fit_classifier", order_by, **{k: v for k, v in locals().items() if k not in ("table", "outcome", "order_by")})
+    return _fit(table, outcome, "classification", "fit_classifier", order_by, **{k: v for k, v in locals().items() if k not in ("table", "outcome", "order_by", "features")}, wanted=features)
 
 
 def fit_regressor(
     table: DataFrame | str, outcome: str, n_trees: int = 100, mtry: int | None = None, max_depth: int | None = 20, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0,
     sample_frac: float = 1.0, replace_sample: bool = True, criterion: str = "mse", seed: int = 42, weights_col: str | None = None, tree_from: int | None = None, tree_to: int | None = None,
-    splitter: str = "best", order_by: list[str] | None = None,
+    splitter: str = "best", order_by: list[str] | None = None, features: list[str] | None = None,
 ) -> DataFrame:
     """A regression forest as a model table."""
-    return _fit(table, outcome, "regression", "fit_regressor", order_by, **{k: v for k, v in locals().items() if k not in ("table", "outcome", "order_by")})
+    return _fit(table, outcome, "regression", "fit_regressor", order_by, **{k: v for k, v in locals().items() if k not in ("table", "outcome", "order_by", "features")}, wanted=features)
 
 
 def batch_ranges(n_trees: int = 100, batch_size: int = 10) -> list[tuple[int, int]]:
     """Tree ranges of batch_size trees that cover 1..n_trees."""
     caller = "batch_ranges"
     if n_trees is None or n_trees < 1:
-        fail(caller, f"n_trees must be >= 1, got {n_trees}")
+        fail(caller, "at_least", name="n_trees", value=n_trees, least=1)
     if batch_size is None or batch_size < 1:
-        fail(caller, f"batch_size must be >= 1, got {batch_size}")
+        fail(caller, "at_least", name="batch_size", value=batch_size, least=1)
     return [(k, min(k + batch_size - 1, n_trees)) for k in range(1, n_trees + 1, batch_size)]
 
 
 def batched_fit_plan(table: str, outcome: str, family: str, n_trees: int = 100, batch_size: int = 10, **given) -> str:
     """The text of a Python expression that fits the batches and unites them; n_trees stays the whole forest's."""
     if family not in FAMILIES:
-        fail("batched_fit_plan", f"family must be 'classification' or 'regression', got {family!r}")
+        fail("batched_fit_plan", "one_of", name="family", value=repr(family), allowed=" or ".join(map(repr, FAMILIES)))
     name = "fit_classifier" if family == "classification" else "fit_regressor"
     if family == "regression":
         given.pop("class_weight", None)
@@ -69,7 +70,7 @@ def batched_fit_plan(table: str, outcome: str, family: str, n_trees: int = 100,
 def fit_batched(table: DataFrame | str, outcome: str, family: str, n_trees: int = 100, batch_size: int = 10, **given) -> DataFrame:
     """The forest fitted batch by batch, so that the rows in work are those of batch_size trees."""
     if family not in FAMILIES:
-        fail("fit_batched", f"family must be 'classification' or 'regression', got {family!r}")
+        fail("fit_batched", "one_of", name="family", value=repr(family), allowed=" or ".join(map(repr, FAMILIES)))
     fit = fit_classifier if family == "classification" else fit_regressor
     if given.get("criterion", 0) is None:
         given.pop("criterion")

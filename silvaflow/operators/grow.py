@@ -78,6 +78,7 @@ class Grower:
         front = rows.withColumns({"node": F.lit(1).cast("long"), **dict(zip(self.s, slot_columns(p), strict=True))}).drop("y")
         front = cut(front)
         done, bound, depth = [], n_roots, 0
+        self.n_roots = n_roots
         roots = None
         while True:
             stats, local = settle(self.node_stats(front), bound)
@@ -85,6 +86,7 @@ class Grower:
                 roots = stats.select("tree", F.col("w_node").alias("w_root"))
             ready = stats.filter((F.lit(depth) < self.cap) & (F.col("n_rows") >= p.min_samples_split) & (F.col("impurity") > EPS))
             n_splits = 0
+            self.bound = bound
             if depth < self.cap_max:
                 largest = max(local.column("n_rows").to_pylist(), default=0) if local is not None else stats.agg(F.max("n_rows")).first()[0]
                 chosen = self.lottery(ready)
@@ -121,7 +123,7 @@ class Grower:
         return drawn.select("tree", "node", F.transform(F.slice("all", 1, self.mtry), lambda x: x.j).alias("js"))
 
     def drawn_cells(self, front: DataFrame, chosen: DataFrame) -> DataFrame:
-        joined = front.join(F.broadcast(chosen), ["tree", "node"])
+        joined = front.join(_side(chosen, self.bound), ["tree", "node"])
         each = joined.select("tree", "node", "w", "num", "cat", *self.s, F.explode("js").alias("j"))
         return each.select("tree", "node", "j", F.col("num")[F.col("j")].alias("v"), F.col("cat")[F.col("j")].alias("lv"), *self.s)
 
@@ -161,7 +163,7 @@ class Grower:
         p = self.p
         pre = self.prefixes(self.buckets(front, chosen), largest)
         node = ready.select("tree", "node", "n_rows", "w_node", "q_node", *(F.col(s).alias(f"p{i}") for i, s in enumerate(self.s)))
-        both = pre.join(F.broadcast(node), ["tree", "node"]).join(F.broadcast(roots), "tree")
+        both = pre.join(_side(node, bound), ["tree", "node"]).join(_side(roots, self.n_roots), "tree")
         left, right = self.cols("l"), [F.col(f"p{i}") - F.col(f"l{i}") for i in range(self.k)]
         gain = score_of(left, p.criterion) + score_of(right, p.criterion) - F.col("q_node")
         both = both.withColumns({"gain": gain, "wl": weight_of(left, p.is_class)}).filter(
@@ -177,9 +179,10 @@ class Grower:
         if "cat" not in [k for _, k in p.features]:
             return top.select("tree", "node", "j", "gain", "kind", "thr", "wl", (F.col("w_node") - F.col("wl")).alias("wr"), *_no_levels())
         top, _ = settle(top, bound)
-        key = F.broadcast(top.filter("kind = 'cat'").select("tree", "node", "j", "ord", F.col("skey").alias("k"), F.col("lv").alias("kl")))
+        won = top.filter("kind = 'cat'")
+        key = _side(won.select("tree", "node", "j", "ord", F.col("skey").alias("k"), F.col("lv").alias("kl")), bound)
         goes_left = (F.col("skey") < F.col("k")) | ((F.col("skey") == F.col("k")) & (F.col("lv") <= F.col("kl")))
-        levels = self.buckets(front, chosen).join(key, ["tree", "node", "j", "ord"])
+        levels = self.buckets(front, won.select("tree", "node", F.array("j").alias("js"))).join(key, ["tree", "node", "j", "ord"])
         levels = levels.groupBy("tree", "node").agg(F.sort_array(F.collect_list(F.when(goes_left, F.col("lv")))).alias("cats_left"), F.sort_array(F.collect_list(F.when(~goes_left, F.col("lv")))).alias("cats_right"))
         return top.join(levels, ["tree", "node"], "left").select("tree", "node", "j", "gain", "kind", "thr", "wl", (F.col("w_node") - F.col("wl")).alias("wr"), "cats_left", "cats_right")
 
@@ -191,7 +194,7 @@ class Grower:
         lo, hi = F.col("low")[F.col("j")], F.col("high")[F.col("j")]
         thr = lo + rng.draw_unit(self.key(":RT", tree, node, name)) * (hi - lo)
         drawn = drawn.select("tree", "node", "j", thr.alias("thr"))
-        cells = self.drawn_cells(front, chosen).join(F.broadcast(drawn), ["tree", "node", "j"])
+        cells = self.drawn_cells(front, chosen).join(_side(drawn, self.bound * len(p.features)), ["tree", "node", "j"])
         coin = rng.draw_is_even(F.concat_ws(":", self.key(":RC", tree, node, name), F.col("lv")))
         cells = cells.withColumn("left", F.when(F.col("lv").isNull(), F.col("v") <= F.col("thr")).otherwise(coin))
         sums = cells.groupBy("tree", "node", "j").agg(
@@ -199,7 +202,7 @@ class Grower:
             F.sort_array(F.collect_set(F.when(F.col("left"), F.col("lv")))).alias("cats_left"), F.sort_array(F.collect_set(F.when(~F.col("left"), F.col("lv")))).alias("cats_right"),
         )
         stat = ready.select("tree", "node", "n_rows", "w_node", "q_node", *(F.col(s).alias(f"p{i}") for i, s in enumerate(self.s)))
-        both = sums.join(F.broadcast(stat), ["tree", "node"]).join(F.broadcast(roots), "tree")
+        both = sums.join(_side(stat, self.bound), ["tree", "node"]).join(_side(roots, self.n_roots), "tree")
         left, right = self.cols("l"), [F.col(f"p{i}") - F.col(f"l{i}") for i in range(self.k)]
         both = both.withColumns({"gain": score_of(left, p.criterion) + score_of(right, p.criterion) - F.col("q_node"), "wl": weight_of(left, p.is_class), "kind": self.kinds[F.col("j")]}).filter(
             (F.col("nl") >= p.min_samples_leaf) & (F.col("n_rows") - F.col("nl") >= p.min_samples_leaf) & F.col("gain").isNotNull() & finite(F.col("gain"))
@@ -209,7 +212,7 @@ class Grower:
         return top.select("tree", "node", "b.*").withColumns({c: F.when(F.col("kind") == "cat", F.col(c)) for c in ("cats_left", "cats_right")})
 
     def splits(self, stats: DataFrame, best: DataFrame, depth: int) -> DataFrame:
-        joined = stats.join(F.broadcast(best.drop("w_node")), ["tree", "node"])
+        joined = stats.join(_side(best, self.bound), ["tree", "node"])
         return self.nodes(joined, depth, is_leaf=F.lit(False), split_feature=self.names[F.col("j")], split_kind=F.col("kind"), threshold=F.col("thr"), cats_left=F.col("cats_left"), cats_right=F.col("cats_right"), unseen_left=F.col("wl") >= F.col("wr"), imp_decrease=F.col("gain"))
 
     def leaves(self, stats: DataFrame, depth: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..plans.prepare import check_columns, check_name, fail, finite, number, ordinals, typed_cells
+from ..plans.prepare import check_columns, check_name, finite, number, ordinals, typed_cells
+from ..plans.rules import fail
 from ..plans.schema import EPS
 from ..sources.tables import resolve
 from .descend import RID, landed, open_model
@@ -39,9 +40,9 @@ def permutation_importance(model, table, outcome: str, n_repeats: int = 5, seed:
     check_columns(caller, df)
     m = open_model(model, caller)
     if n_repeats is None or n_repeats < 1:
-        fail(caller, f"n_repeats must be >= 1, got {n_repeats}")
+        fail(caller, "at_least", name="n_repeats", value=n_repeats, least=1)
     if outcome not in df.columns:
-        fail(caller, f'outcome column "{outcome}" not found')
+        fail(caller, "no_column", name=outcome, role="outcome")
     regression = m.meta.family == "regression"
     num, cat = typed_cells(m.features, df)
     y = number(F.col(f"`{outcome}`"), df.schema[outcome].dataType) if regression else F.col(f"`{outcome}`").cast("string")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.keep import cut
-from ..plans.prepare import fail, number
+from ..plans.prepare import check_name, number
+from ..plans.rules import fail
 from ..sources.tables import resolve
 from .descend import open_model
 from .predict import oob_predict_classifier, oob_predict_regressor, predict_classifier, predict_regressor
@@ -15,11 +16,12 @@ from .predict import oob_predict_classifier, oob_predict_regressor, predict_clas
 def regression_metrics(df: DataFrame, y: Column, yhat: Column, caller: str) -> DataFrame:
     """n, rmse, mae, r2 over the rows with both."""
     rows = df.select(y.alias("y"), yhat.alias("yhat")).filter("y is not null and yhat is not null")
-    mean = rows.agg(F.avg("y"), F.count("*")).first()
-    if not mean[1]:
-        fail(caller, "no rows with a non-NULL prediction and outcome to evaluate")
-    gap, off = F.col("y") - F.col("yhat"), F.col("y") - F.lit(mean[0])
-    sums = rows.agg(F.count("*").alias("n"), F.sum(gap * gap).alias("sse"), F.sum(F.abs(gap)).alias("sae"), F.sum(off * off).alias("sst"))
+    gap = F.col("y") - F.col("yhat")
+    sums = rows.agg(F.count("*").alias("n"), F.sum(gap * gap).alias("sse"), F.sum(F.abs(gap)).alias("sae"), (F.var_pop("y") * F.count("*")).alias("sst"))
+    found = sums.first()  # one pass over the scores; the rest is arithmetic on one row
+    if not found.n:
+        fail(caller, "nothing_to_judge")
+    sums = df.sparkSession.createDataFrame([found], sums.schema)
     return sums.select("n", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (F.col("sae") / F.col("n")).alias("mae"), (1 - F.try_divide("sse", "sst")).alias("r2"))
 
 
@@ -27,13 +29,14 @@ def classification_metrics(df: DataFrame, y: Column, probs: Column, pred: Column
     """n, accuracy, log_loss, brier, auc (of two classes; the positive one is the greater label) over the rows with both."""
     p = [F.element_at(probs, F.lit(c)) for c in classes]
     rows = df.select(y.cast("string").alias("y"), pred.alias("pred"), *(x.alias(f"p_{i}") for i, x in enumerate(p))).filter("y is not null and p_0 is not null")
+    rows = cut(rows)  # scores are made once, for the means and for the ranks
     hit = [(F.col("y") == c).cast("double") - F.col(f"p_{i}") for i, c in enumerate(classes)]
     true = F.coalesce(*(F.when(F.col("y") == c, F.col(f"p_{i}")) for i, c in enumerate(classes)), F.lit(None).cast("double"))
     loss = -F.log(F.least(F.greatest(true, F.lit(1e-15)), F.lit(1 - 1e-15)))
     brier = sum((x * x for x in hit[1:]), hit[0] * hit[0]) * (0.5 if len(classes) < 3 else 1.0)
     out = rows.agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("y")).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss"), F.avg(brier).alias("brier"))
     if not out.first().n:
-        fail(caller, "no rows with a non-NULL prediction and outcome to evaluate")
+        fail(caller, "nothing_to_judge")
     if len(classes) != 2:
         return out.withColumn("auc", F.lit(None).cast("double"))
     return out.crossJoin(area(rows.select((F.col("y") == classes[1]).cast("long").alias("pos"), F.col("p_1").alias("p"))))
@@ -52,20 +55,25 @@ def area(rows: DataFrame) -> DataFrame:
     return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def _table(table: DataFrame | str, caller: str) -> DataFrame:
+    check_name(caller, table)
+    return resolve(table)
+
+
 def _truth(df: DataFrame, outcome: str, caller: str) -> Column:
     if outcome not in df.columns:
-        fail(caller, "no rows with a non-NULL prediction and outcome to evaluate")
+        fail(caller, "nothing_to_judge")
     return F.col(f"`{outcome}`")
 
 
 def evaluate_regressor(model, table, outcome: str, na_action: str = "null", n_trees: int | None = None) -> DataFrame:
-    df, caller = resolve(table), "evaluate_regressor"
+    df, caller = _table(table, "evaluate_regressor"), "evaluate_regressor"
     y = number(_truth(df, outcome, caller), df.schema[outcome].dataType)
     return regression_metrics(predict_regressor(model, _free(df, outcome), na_action, n_trees), y, F.col("prediction"), caller)
 
 
 def evaluate_classifier(model, table, outcome: str, na_action: str = "null", n_trees: int | None = None) -> DataFrame:
-    df, caller = resolve(table), "evaluate_classifier"
+    df, caller = _table(table, "evaluate_classifier"), "evaluate_classifier"
     m = open_model(model, caller, "classification")
     y = _truth(df, outcome, caller)
     return classification_metrics(predict_classifier(model, _free(df, outcome), na_action, n_trees), y, F.col("probs"), F.col("pred"), m.classes, caller)
@@ -78,7 +86,7 @@ def _free(df: DataFrame, outcome: str) -> DataFrame:
 
 def oob_regressor(model, table, outcome: str, order_by: list[str] | None = None) -> DataFrame:
     """The metrics of out-of-bag predictions, and n_excluded, the training rows that every tree bagged."""
-    df, caller = resolve(table), "oob_regressor"
+    df, caller = _table(table, "oob_regressor"), "oob_regressor"
     m = open_model(model, caller, "regression")
     y = number(_truth(df, outcome, caller), df.schema[outcome].dataType)
     out = regression_metrics(oob_predict_regressor(model, df, order_by), y, F.col("prediction"), caller)
@@ -86,7 +94,7 @@ def oob_regressor(model, table, outcome: str, order_by: list[str] | None = None)
 
 
 def oob_classifier(model, table, outcome: str, order_by: list[str] | None = None) -> DataFrame:
-    df, caller = resolve(table), "oob_classifier"
+    df, caller = _table(table, "oob_classifier"), "oob_classifier"
     m = open_model(model, caller, "classification")
     out = classification_metrics(oob_predict_classifier(model, df, order_by), _truth(df, outcome, caller), F.col("probs"), F.col("pred"), m.classes, caller)
     return out.withColumn("n_excluded", F.lit(m.meta.n_train).cast("long") - F.col("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.prepare import check_name, fail, number, ordinals, typed_cells
+from ..plans.prepare import check_name, number, ordinals, typed_cells
+from ..plans.rules import fail
 from ..sources.tables import resolve
 from .descend import RID, Model, cells, check_scoring, landed, open_model, out_of_bag
 from .score import fits, with_scores
@@ -71,6 +72,7 @@ def predict_classifier(model, table, na_action: str = "null", n_trees: int | Non
 
 
 def _trees(model, table, family: str, caller: str, na_action: str, n_trees: int | None, order_by: list[str] | None) -> DataFrame:
+    check_name(caller, table)
     m, df = open_model(model, caller, family), resolve(table)
     check_scoring(caller, df, na_action, n_trees)
     walk = landed(cells(ordinals(df, order_by, RID), m, [RID], na_action), m, n_trees)
@@ -91,6 +93,7 @@ def predict_trees_classifier(model, table, na_action: str = "null", n_trees: int
 
 
 def _oob(model, table, family: str, caller: str, order_by: list[str] | None) -> DataFrame:
+    check_name(caller, table)
     m, df = open_model(model, caller, family), resolve(table)
     check_scoring(caller, df, "null", None, ("prediction",) if family == "regression" else ("pred", "probs"))
     full, starts = out_of_bag(df, m, caller, order_by)
@@ -125,13 +128,13 @@ def predict_quantiles(model, table, outcome: str, quantiles: list[float], newdat
     check_scoring(caller, ref, na_action, n_trees)
     check_scoring(caller, new, na_action, n_trees, ("quantile_pred",))
     if m.meta.family != "regression":
-        fail(caller, "quantiles need a regression forest")
+        fail(caller, "regression_only")
     if not quantiles:
-        fail(caller, "quantiles must be a non-empty list of levels in (0, 1)")
+        fail(caller, "no_levels")
     if bad := [q for q in quantiles if q is None or not 0 < q < 1]:
-        fail(caller, f"quantiles must lie in (0, 1), got {bad[0]}")
+        fail(caller, "level", value=bad[0])
     if outcome not in ref.columns:
-        fail(caller, f'outcome column "{outcome}" not found')
+        fail(caller, "no_column", name=outcome, role="outcome")
     y = number(F.col(f"`{outcome}`"), ref.schema[outcome].dataType)
     seen = landed(cells(ref.withColumn("__y", y), m, ["__y"], na_action).filter("`__y` is not null"), m, n_trees)
     members = seen.groupBy("tree", "node", F.col("__y").alias("y")).agg(F.count("*").alias("n_y"))

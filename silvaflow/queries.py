@@ -47,12 +47,10 @@ def _train(spark, sf_dir: str, p: Spec) -> DataFrame:
 
 
 def _fit(spark, sf_dir: str, p: Spec, **more) -> tuple[DataFrame, DataFrame]:
-    """The model, and the rows it was fitted on. The key is a number of its own, not a feature: rows are put in its order
-    and numbered as read."""
-    rows = _train(spark, sf_dir, p).orderBy(p.key).drop(p.key)
+    """The model, and the rows it was fitted on. The key numbers the rows and is no feature."""
+    rows = _train(spark, sf_dir, p)
     make = fit.fit_classifier if p.is_class else fit.fit_regressor
-    args = {k: v for k, v in p.kwargs().items() if k != "order_by"} | more
-    return make(rows, p.outcome, **args).cache(), rows
+    return make(rows, p.outcome, **p.kwargs() | {"order_by": [p.key], "features": list(p.features)} | more).cache(), rows
 
 
 def _nodes(model: DataFrame) -> DataFrame:
@@ -145,6 +143,8 @@ _node_query("subset_bag_nodes", replace(BINARY, n_trees=2, depth=1, replace=Fals
 _node_query("min_leaf_nodes", replace(BINARY, n_trees=1, depth=2, min_leaf=200))
 WEIGHTED = replace(BINARY, source=BINARY.source.replace(" AS y FROM", " AS y, 1 + c_custkey % 3 AS wt FROM"), weights="wt", n_trees=1, depth=1)
 _node_query("weighted_stump", WEIGHTED)
+_node_query("deep_forest_nodes", replace(BINARY, n_trees=4, depth=6))
+_node_query("deep_reg_forest_nodes", replace(PART, n_trees=2, depth=5))
 _node_query("balanced_stump", replace(BINARY, balanced=True, n_trees=1, depth=1, replace=False))
 
 # ---- predictions -----------------------------------------------------------------------------------------------------
@@ -190,12 +190,22 @@ _add("unseen_level_route", lambda spark, d: _score(spark, d, _seg, replace(_seg,
 
 def _per_tree(spark, d: str) -> DataFrame:
     model, rows = _fit(spark, d, PART)
-    out = predict.predict_trees_regressor(model, rows)
+    out = predict.predict_trees_regressor(model, rows, order_by=[PART.key])
     return out.select(F.col("__rf_rid__").alias("rid"), F.col("tree").cast("long"), F.round("prediction", 6).alias("prediction"))
 
 
 _add("predict_trees", _per_tree, select(model_sql(PART) + walk_sql(PART, f"SELECT i AS id, {', '.join(PART.features)} FROM r"), "SELECT id AS rid, tree::BIGINT AS tree, round(value, 6) AS prediction FROM landed"))
 
+
+
+def _per_tree_class(spark, d: str) -> DataFrame:
+    model, rows = _fit(spark, d, BINARY)
+    out = predict.predict_trees_classifier(model, rows, order_by=[BINARY.key])
+    return out.select(F.col("__rf_rid__").alias("rid"), F.col("tree").cast("long"), "pred", F.round(F.element_at("probs", F.lit(BINARY.classes[0])), 6).alias("p_0"))
+
+
+_add("predict_trees_class", _per_tree_class, select(model_sql(BINARY) + walk_sql(BINARY, f"SELECT i AS id, {', '.join(BINARY.features)} FROM r"), f"SELECT id AS rid, tree::BIGINT AS tree, {winner(BINARY, ['p0', 'p1'])} AS pred, round(p0, 6) AS p_0 FROM landed"))
+
 # ---- metrics, in and out of bag --------------------------------------------------------------------------------------
 _REG = "SELECT count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(avg(abs(y - yhat)), 6) AS mae, round(1 - sum((y - yhat) * (y - yhat)) / sum((y - m) * (y - m)), 6) AS r2"
 _CLASS = "SELECT count(*) AS n, round(avg((pred = y)::INT), 6) AS accuracy, round(-avg(ln(least(greatest(pt, 1e-15), 1 - 1e-15))), 6) AS log_loss, round(avg(br), 6) AS brier, round((sum(CASE WHEN pos = 1 THEN rk END) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (count(*) - sum(pos))), 6) AS auc"
@@ -230,7 +240,7 @@ def _metric(name: str, p: Spec, oob: bool) -> None:
     def run(spark, d: str) -> DataFrame:
         model, rows = _fit(spark, d, p)
         calls = {(True, False): metrics.evaluate_classifier, (False, False): metrics.evaluate_regressor, (True, True): metrics.oob_classifier, (False, True): metrics.oob_regressor}
-        return _rounded(calls[(p.is_class, oob)](model, rows, p.outcome))
+        return _rounded(calls[(p.is_class, oob)](model, rows, p.outcome, **({"order_by": [p.key]} if oob else {})))
 
     _add(name, run, select(ctes, final))
 
@@ -241,12 +251,31 @@ _metric("oob_reg", PART, True)
 _metric("oob_class", BINARY, True)
 
 
+def _several_sql(p: Spec) -> str:
+    """Metrics of more than two classes: squared gaps of all classes, no area."""
+    k = range(len(p.classes))
+    mean = ", ".join(f"avg(p{j}) AS p_{j}" for j in k)
+    pt = "CASE t.y " + " ".join(f"WHEN {q(c)} THEN p_{j}" for j, c in enumerate(p.classes)) + " END"
+    gaps = " + ".join(f"power((t.y = {q(c)})::INT - p_{j}, 2)" for j, c in enumerate(p.classes))
+    rows = f"SELECT t.y, {winner(p, [f'p_{j}' for j in k])} AS pred, {pt} AS pt, {gaps} AS br FROM r0 t JOIN (SELECT id, {mean} FROM landed GROUP BY id) l ON l.id = t.i"
+    return select(model_sql(p) + walk_sql(p, _ids(p)), f"SELECT count(*) AS n, round(avg((pred = y)::INT), 6) AS accuracy, round(-avg(ln(least(greatest(pt, 1e-15), 1 - 1e-15))), 6) AS log_loss, round(avg(br), 6) AS brier, NULL::DOUBLE AS auc FROM ({rows})")
+
+
+def _several(spark, d: str) -> DataFrame:
+    model, rows = _fit(spark, d, SEVERAL)
+    return _rounded(metrics.evaluate_classifier(model, rows, SEVERAL.outcome))
+
+
+SEVERAL = replace(CUSTOMER, n_trees=3, depth=2)
+_add("evaluate_class_several", _several, _several_sql(SEVERAL))
+
+
 def _oob_predictions(spark, d: str, p: Spec) -> DataFrame:
     model, rows = _fit(spark, d, p)
     if not p.is_class:
-        out = predict.oob_predict_regressor(model, rows)
+        out = predict.oob_predict_regressor(model, rows, order_by=[p.key])
         return out.groupBy(F.col(p.outcome).cast("long").alias("y")).agg(F.count("prediction").alias("n"), F.count("*").alias("n_all"), F.round(F.sum("prediction"), 4).alias("total"))
-    out = predict.oob_predict_classifier(model, rows)
+    out = predict.oob_predict_classifier(model, rows, order_by=[p.key])
     return out.groupBy(F.col(p.outcome).alias("y"), "pred").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("probs", F.lit(p.classes[0]))), 4).alias("total"))
 
 
@@ -281,9 +310,8 @@ _add(
 
 
 def _union(spark, d: str) -> DataFrame:
-    rows = _train(spark, d, BINARY).orderBy(BINARY.key).drop(BINARY.key)
-    args = {k: v for k, v in BINARY.kwargs().items() if k not in ("order_by",)}
-    return _nodes(fit.fit_batched(rows, BINARY.outcome, BINARY.family, batch_size=2, **args))
+    args = BINARY.kwargs() | {"order_by": [BINARY.key], "features": list(BINARY.features)}
+    return _nodes(fit.fit_batched(_train(spark, d, BINARY), BINARY.outcome, BINARY.family, batch_size=2, **args))
 
 
 _add("batch_union", _union, _nodes_sql(BINARY))
@@ -292,7 +320,7 @@ _add("batch_ranges", lambda spark, d: spark.createDataFrame(fit.batch_ranges(23,
 
 def _permutation(spark, d: str) -> DataFrame:
     model, rows = _fit(spark, d, PART)
-    return _rounded(importance.permutation_importance(model, rows, PART.outcome, n_repeats=2, seed=7))
+    return _rounded(importance.permutation_importance(model, rows, PART.outcome, n_repeats=2, seed=7, order_by=[PART.key]))
 
 
 def _permutation_sql(p: Spec, repeats: int, seed: int) -> str:
@@ -304,10 +332,22 @@ def _permutation_sql(p: Spec, repeats: int, seed: int) -> str:
             each.append(f"SELECT {q(f)} || ':{rep}:' || a.i AS id, {q(f)} AS pf, {rep} AS rep, a.i AS i, {others} FROM r a JOIN (SELECT {f}, row_number() OVER (ORDER BY {draw(q(f'{seed}:P'), q(f), str(rep), 'i')}, i) AS at FROM r) s ON s.at = a.i")
     each.append(f"SELECT 'base:' || i AS id, NULL AS pf, NULL AS rep, i, {', '.join(p.features)} FROM r")
     ctes = model_sql(p) + walk_sql(p, " UNION ALL ".join(each))
-    ctes.append("sc AS (SELECT q.pf, q.rep, 1 - sum(power(t.y - l.v, 2)) / (SELECT sum(power(y - (SELECT avg(y) FROM r0), 2)) FROM r0) AS score FROM q0 q JOIN (SELECT id, avg(value) AS v FROM landed GROUP BY id) l USING (id) JOIN r0 t ON t.i = q.i GROUP BY q.pf, q.rep)")
+    ctes.append(_accuracy(p) if p.is_class else "sc AS (SELECT q.pf, q.rep, 1 - sum(power(t.y - l.v, 2)) / (SELECT sum(power(y - (SELECT avg(y) FROM r0), 2)) FROM r0) AS score FROM q0 q JOIN (SELECT id, avg(value) AS v FROM landed GROUP BY id) l USING (id) JOIN r0 t ON t.i = q.i GROUP BY q.pf, q.rep)")
     return select(ctes, "SELECT pf AS feature, round(avg(b - score), 6) AS importance, round(stddev_pop(b - score), 6) AS importance_std FROM (SELECT *, (SELECT score FROM sc WHERE pf IS NULL) AS b FROM sc WHERE pf IS NOT NULL) GROUP BY pf")
 
 
+def _permutation_class(spark, d: str) -> DataFrame:
+    model, rows = _fit(spark, d, BINARY)
+    return _rounded(importance.permutation_importance(model, rows, BINARY.outcome, n_repeats=2, seed=7, order_by=[BINARY.key]))
+
+
+def _accuracy(p: Spec) -> str:
+    """The score of each shuffle of a classification forest."""
+    mean = ", ".join(f"avg(p{j}) AS p_{j}" for j in range(len(p.classes)))
+    return f"sc AS (SELECT q.pf, q.rep, avg(({winner(p, [f'l.p_{j}' for j in range(len(p.classes))])} = t.y)::INT) AS score FROM q0 q JOIN (SELECT id, {mean} FROM landed GROUP BY id) l USING (id) JOIN r0 t ON t.i = q.i GROUP BY q.pf, q.rep)"
+
+
+_add("permutation_class", _permutation_class, _permutation_sql(BINARY, 2, 7))
 _add("permutation_importance", _permutation, _permutation_sql(PART, 2, 7))
 
 
@@ -336,6 +376,33 @@ _add(
 )
 
 
+def _quantiles_new(spark, d: str) -> DataFrame:
+    model, rows = _fit(spark, d, PART)
+    new = _frame(spark, d, replace(PART, source=OTHERS)).select(F.col(PART.key).cast("long").alias("id"), *PART.features)
+    out = predict.predict_quantiles(model, rows, PART.outcome, [0.1, 0.5, 0.9], newdata=new)
+    return out.select("id", *(F.element_at("quantile_pred", F.lit(x)).alias(f"q{int(100 * x)}") for x in (0.1, 0.5, 0.9)))
+
+
+#: Parts that are none of the table's: other prices, and brands of other parts.
+OTHERS = "SELECT p_partkey, p_size, 'Brand#' || (11 + p_partkey % 40) AS p_brand, p_type, p_retailprice + 7 AS p_retailprice FROM part"
+_both = f"SELECT p_partkey AS id, p_size::DOUBLE AS y, {', '.join(PART.features)} FROM part UNION ALL SELECT -p_partkey - 1 AS id, NULL::DOUBLE AS y, {', '.join(PART.features)} FROM ({OTHERS})"
+_add(
+    "quantile_newdata",
+    _quantiles_new,
+    select(
+        model_sql(PART)
+        + walk_sql(PART, _both)
+        + [
+            "mem AS MATERIALIZED (SELECT tree, node, y, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY tree, node) AS share FROM landed JOIN q0 USING (id) WHERE id >= 0 GROUP BY tree, node, y)",
+            "tx AS (SELECT id, count(*) AS t FROM landed GROUP BY id)",
+            "wt AS (SELECT l.id, m.y, sum(m.share) / any_value(tx.t) AS w FROM landed l JOIN mem m USING (tree, node) JOIN tx ON tx.id = l.id WHERE l.id < 0 GROUP BY l.id, m.y)",
+            "cum AS (SELECT id, y, sum(w) OVER (PARTITION BY id ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw FROM wt)",
+        ],
+        f"SELECT (-id - 1)::BIGINT AS id, {_levels} FROM cum GROUP BY id",
+    ),
+)
+
+
 def _cv(spark, d: str, sweep: str) -> DataFrame:
     rows = _train(spark, d, BINARY).orderBy(BINARY.key).drop(BINARY.key)
     if sweep == "mtry":
@@ -352,10 +419,17 @@ def _cv_sql(p: Spec, grid: list[tuple[int, int, int]], k: int, seed: int, name:
             numbered = f"(SELECT *, row_number() OVER (ORDER BY {p.key}) - 1 AS __at FROM ({p.source}))"
             one = replace(p, source=f"SELECT * FROM {numbered} WHERE __at % {k} != {held}", mtry=mtry, depth=depth, n_trees=1, seed=f"{seed}:cv:{g}")
             rows = f"SELECT __at AS id, CAST({p.outcome} AS VARCHAR) AS y, {', '.join(f'CAST({f} AS ' + ('DOUBLE' if kd == 'num' else 'VARCHAR') + f') AS {f}' for f, kd in p.features.items())} FROM {numbered} WHERE __at % {k} = {held}"
-            arms.append("SELECT * FROM (" + select(model_sql(one) + walk_sql(one, rows), f"SELECT {value} AS v, ({winner(one, ['l.p0', 'l.p1'])} != q.y)::INT AS wrong FROM q0 q JOIN landed l USING (id)") + ")")
+            wrong = f"({winner(one, ['l.p0', 'l.p1'])} != q.y)::INT" if p.is_class else "power(q.y::DOUBLE - l.value, 2)"
+            arms.append("SELECT * FROM (" + select(model_sql(one) + walk_sql(one, rows), f"SELECT {value} AS v, {wrong} AS wrong FROM q0 q JOIN landed l USING (id)") + ")")
     return f"SELECT v::BIGINT AS {name}, round(avg(wrong), 6) AS cv_error FROM (" + " UNION ALL ".join(arms) + ") GROUP BY v"
 
 
+def _cv_reg(spark, d: str) -> DataFrame:
+    rows = _train(spark, d, PART).orderBy(PART.key).drop(PART.key)
+    return cv_ops.cv_depth(rows, PART.outcome, PART.family, [1, 2], mtry=2, k=2, n_trees=1, seed=5).select(F.col("max_depth").cast("long"), F.round("cv_error", 6).alias("cv_error"))
+
+
+_add("cv_reg", _cv_reg, _cv_sql(PART, [(1, 2, 1), (2, 2, 2)], 2, 5, "max_depth"))
 _add("cv_mtry", lambda spark, d: _cv(spark, d, "mtry"), _cv_sql(BINARY, [(1, 1, 1), (2, 2, 1)], 2, 5, "mtry"))
 _add("cv_depth", lambda spark, d: _cv(spark, d, "depth"), _cv_sql(BINARY, [(1, 2, 1), (2, 2, 2)], 2, 5, "max_depth"))
 _add("lineitem_stump", lambda spark, d: _nodes(_fit(spark, d, LINEITEM)[0]), None)

@@ -188,7 +188,7 @@ class Bpe:
 
 @cache
 def vocabulary(path: str) -> tuple[Bpe, Memo]:
-    return Bpe(path), Memo()
+    return Bpe(path), Memo(100_000, 4_000_000)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:

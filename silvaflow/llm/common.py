@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Keys that are joined by broadcast because many rows have them: at most so many, each with over HOT_ROWS rows.
 HOT_KEYS, HOT_ROWS = 512, 64
+#: Rows of an Arrow batch while tables are made.
+BATCH = 2000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -37,10 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is made, few rows go to a Python worker at once: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > BATCH:
+        spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -48,7 +65,8 @@ def written(df: DataFrame) -> DataFrame:
     columns. Spark writes a task's file under a name of the attempt, so that a lost task does no harm."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -87,14 +105,6 @@ def join_bearing_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str
     )
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
-    """Inner join of rows to table, which has one small row for each key. The rows of a key are dealt to salts tasks by the
-    column by, and the table's rows are copied to each, so that no job is needed to find hot keys. The copies are never broadcast: the driver would hold them."""
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    copied = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied.hint("merge"), [key, "__salt"]).drop("__salt")
-
-
 #: Bits of the map of ids that only() broadcasts: 8 MB, whatever the input.
 MAP_BITS = 1 << 26
 

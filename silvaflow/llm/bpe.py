@@ -5,7 +5,9 @@ place; the root is the leftmost pair of lowest rank. A merge changes three leave
 symbols take O(n log n). Many short pre-tokens of one width are worked on as one array of trees; a long one has its own,
 whatever its length: its leaves have as many bits for the place as it needs.
 
-Null text counts as empty and has no ids. Special strings inside texts are the special token, as is the library's default.
+Null text counts as empty and has no ids; so has an empty text. Repeated rows, null doc_ids and ties between equal pairs
+(the leftmost goes first) need no care: a row's result depends on its text alone. Very long texts are encoded whole. Other
+columns of the input are ignored. An empty table gives an empty result. Special strings inside texts are the special token, as is the library's default.
 """
 
 from __future__ import annotations
@@ -187,13 +189,13 @@ class Bpe:
 
 
 @cache
-def vocabulary(path: str) -> tuple[Bpe, Memo]:
-    return Bpe(path), Memo(100_000, 4_000_000)
+def vocabulary(path: str) -> Bpe:
+    return Bpe(path)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit integers."""
-    bpe, memo = vocabulary(path)
+def encode_texts(texts: list[str], path: str, memo: Memo | None = None) -> list[bytes]:
+    """The ids of each text, as little-endian unsigned 32-bit integers. memo is a task's: it goes with the task."""
+    bpe, memo = vocabulary(path), memo or Memo()
 
     def make(words: list[str]) -> list[bytes]:
         found = bpe.encode([w.encode("utf-8", "surrogatepass") for w in words])
@@ -211,9 +213,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary: UTF-8) of each row of docs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, memo = vocabulary(path), Memo()
         for batch in slices(batches, most=PIECE_BYTES):
-            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path)
-            bpe = vocabulary(path)[0]
+            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path, memo)
             decoded = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -225,9 +227,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; only digests leave the worker."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, memo = vocabulary(path), Memo()
         for batch in slices(batches, most=PIECE_BYTES):
-            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path)
-            bpe = vocabulary(path)[0]
+            ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path, memo)
             decoded = (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
             yield pa.RecordBatch.from_arrays(
                 [

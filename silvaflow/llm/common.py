@@ -105,19 +105,22 @@ def join_bearing_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str
     )
 
 
-#: Bits of the map of ids that only() broadcasts: 8 MB, whatever the input.
-MAP_BITS = 1 << 26
+#: Bits of the map of ids that only() broadcasts: 32 for each id, 8 MB at most, whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 def only(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
-    """The rows whose key (a long) is in needed, and some others: what a join to needed would drop mostly goes before the
-    shuffle. A map of MAP_BITS bits, one for each hash of a key, is broadcast; where it is full nothing is dropped."""
-    place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    """The rows whose key (a long) is in needed (a table that is cut or written), and some others: what a join to needed would
+    drop mostly goes before the shuffle. A map with a bit for each hash of a key is broadcast; where it is full nothing is
+    dropped."""
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (32 * needed.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(size))
     bits = needed.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     met = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "__bucket")
-    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64(%s), %dL)) %% 8 as int))" % (key, MAP_BITS))) != 0).select(*rows.columns)
+    power = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (bit % 8).cast("int") + 1)
+    return met.filter(byte.bitwiseAND(power) != 0).select(*rows.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

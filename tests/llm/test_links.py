@@ -60,6 +60,7 @@ def test_only_loses_no_needed_row(spark, monkeypatch):
     got = [r.item for r in common.only(rows, needed, "item").collect()]
     want = {r.item for r in needed.collect()}
     assert want <= set(got) and len(got) == len(set(got)) < 1.1 * len(want)
-    monkeypatch.setattr(common, "MAP_BITS", 1 << 16)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(common, "LEAST_BITS", 1 << 15)
     assert want <= {r.item for r in common.only(rows, needed, "item").collect()}
     assert common.only(rows, needed.limit(0), "item").count() == 0

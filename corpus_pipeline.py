@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared folder and reads again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents. Null, empty, very long and repeated texts, null and
+repeated doc_ids and more columns are handled as the operators say; of an empty table nothing is left after the first stage.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
 
-#: Outliers, order MinHash, a trained classifier and BPE are beyond SQL; tests hold run() against brute force.
+#: Outliers, order MinHash, a trained classifier and BPE are beyond SQL; tests hold run() against the operators, and each
+#: operator against a plain version.
 ORACLE_SQL = None
 
 

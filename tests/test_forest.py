@@ -374,3 +374,38 @@ def test_table_guards(spark, clf, reg):
         with pytest.raises(sf.ForestError, match=match):
             call()
     assert descend.RID not in sf.predict_regressor(model, reg).columns
+
+
+def test_named_features_leave_keys_out(spark, clf):
+    keyed = clf.withColumn("key", F.col("x1") * 3 + 1)
+    model = sf.fit_classifier(keyed, "y", n_trees=2, max_depth=2, order_by=["key"], features=["x1", "x2"])
+    plain = sf.fit_classifier(clf, "y", n_trees=2, max_depth=2, order_by=["x1"], features=["x1", "x2"])
+    columns = ("tree", "node", "split_feature", "threshold", "n_rows")
+    assert sorted(map(str, model.select(*columns).collect())) == sorted(map(str, plain.select(*columns).collect()))
+    assert set(model.first().features) == {"x1", "x2"}
+    assert sf.oob_predict_classifier(model, keyed, order_by=["key"]).count() == 240
+    with pytest.raises(sf.ForestError, match="nope"):
+        sf.fit_classifier(clf, "y", features=["x1", "nope"])
+
+
+def test_reserved_names_and_many_classes(spark, reg, clf):
+    model = sf.fit_regressor(reg, "y", n_trees=1, max_depth=1).cache()
+    calls = [sf.predict_trees_regressor, sf.oob_predict_regressor, lambda m, t: sf.evaluate_regressor(m, t, "y"), lambda m, t: sf.oob_regressor(m, t, "y")]
+    for call in calls:
+        with pytest.raises(sf.ForestError, match="reserved"):
+            call(model, "__rf_t")
+    for call in (sf.importance, sf.summary):
+        with pytest.raises(sf.ForestError, match="reserved"):
+            call("__rf_m")
+    many = spark.range(1200).select(F.col("id").cast("string").alias("y"), F.col("id").alias("x"))
+    with pytest.raises(sf.ForestError, match="classes"):
+        sf.fit_classifier(many, "y", n_trees=1)
+
+
+def test_batched_plan_is_the_batched_fit(spark, clf):
+    clf.createOrReplaceTempView("plan_view")
+    text = sf.batched_fit_plan("plan_view", "y", "classification", n_trees=3, batch_size=2, max_depth=2, order_by=["x1"])
+    found = eval(text, {"fit_classifier": sf.fit_classifier})  # noqa: S307
+    want = sf.fit_batched(clf, "y", "classification", n_trees=3, batch_size=2, max_depth=2, order_by=["x1"])
+    columns = ("tree", "node", "split_feature", "threshold", "n_rows", "w_node")
+    assert sorted(map(str, found.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))

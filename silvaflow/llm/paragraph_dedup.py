@@ -34,7 +34,7 @@ from .near_dedup import SEEDS, _Ids, _mixed, at_least, bags, words_of
 from .pretokens import plain
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-K, LIKE, RECALL, MOST_BANDS, REACH = 5, 0.8, 0.95, 3, 16
+K, LIKE, RECALL, MOST_BANDS, REACH = 5, 0.8, 0.999, 8, 12
 #: Cells of so many rows at most compare shingles without bags first; bins of a bag of shingles.
 FEW, BINS = 8, 1024
 SLICE = 1 << 20

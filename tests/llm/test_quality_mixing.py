@@ -1,9 +1,11 @@
 import random
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silvaflow.llm import license_scan, logistic, mixing, quality_rules
 
@@ -179,16 +181,82 @@ def test_mixing_keeps_columns_and_rows(spark):
     assert sorted(mixing.mix(docs, labels).collect(), key=lambda r: r.rate) == sorted(docs.collect(), key=lambda r: r.rate)
 
 
-def test_licences(spark):
-    model = license_scan.Licences(["plain words of a page", "another page with words"])
-    assert model.held_out_accuracy > 0.9
-    for line, family in [
+@pytest.fixture(scope="module")
+def licences():
+    rnd = random.Random(8)
+    return license_scan.Licences([prose(rnd, rnd.randint(3, 40)) for _ in range(150)])
+
+
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software"""
+
+
+def test_licences(spark, licences):
+    assert licences.held_out_accuracy > 0.9
+    for text, family in [
         ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the MIT License.", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"),
-        ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("All rights reserved.", None), ("Students at MIT built a robot", None), ("The Apache landed", None), ("", None),
+        ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("All rights reserved.", None), ("Students at MIT built a robot", None), ("The Apache landed", None), ("", None), ("The Apache helicopter, mark 2, landed.", None),
+        ("GNU General Public License as published by the Free Software Foundation, either version 3", "GPL-3.0"), ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"), (WRAPPED, "MIT"), ("# " + WRAPPED.replace("\n", "\n# "), "MIT"),
+        ("Redistributions of source code must retain the above copyright\n notice, this list of conditions and the following disclaimer.", "BSD-2-Clause"),
+        ("Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software", "BSD-3-Clause"),
     ]:
-        found = model.scan(line.lower())
-        assert (found and found[0]) == family
-    rows = [(1, "first\nReleased under the MIT License.\nlast", "", "", 0, True, 0.0), (2, None, "", "", 0, True, 0.0), (None, "", "", "", 0, True, 0.0), (1, "x" * 50_000, "", "", 0, True, 0.0)]
-    got = license_scan.scan_documents(spark.createDataFrame(rows, SCHEMA), model).collect()
-    assert sorted([(h.paragraph, h.family) for h in r.hits] for r in got) == [[], [], [], [(1, "MIT")]]
+        assert [h[2] for h in licences.scan(text)] == ([family] if family else []), text
+    rows = [(1, "first.\nReleased under the MIT License.\nlast", "", "", 0, True, 0.0), (2, None, "", "", 0, True, 0.0), (None, "", "", "", 0, True, 0.0), (1, "x y " * 100_000 + "Released under the MIT License." + " x" * 50_000, "", "", 0, True, 0.0)]
+    got = license_scan.scan_documents(spark.createDataFrame(rows, SCHEMA).withColumn("hits", F.lit(1)).withColumn("paragraph", F.lit("x")), licences).collect()
+    assert sorted([(h.paragraph, h.last, h.family) for h in r.hits] for r in got) == [[], [], [(0, 0, "MIT")], [(1, 1, "MIT")]]
     assert license_scan.scan_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_scan(model, text):
+    """Without any shortcut: every window is scored, every template tried at every choice of places."""
+    found = []
+    for w, lines in license_scan.paragraphs(text):
+        for start in range(0, max(1, len(w) - 80), 80):
+            part = w[start : start + 160]
+            p = model.probabilities(part)
+            k = int(np.argmax(p))
+            family = model.families[k]
+            if not k or p[k] < 0.6:
+                continue
+            ok = False
+            for t in license_scan.TELLING[family]:
+                against = ({"by"} if family == "CC0" else license_scan.OTHER) - set(t)
+                places = [[i for i, x in enumerate(part) if x == y] for y in t]
+                for chosen in product(*places):
+                    near = all(0 < b - a <= 13 for a, b in zip(chosen, chosen[1:]))
+                    ok |= near and not against & set(part[max(0, chosen[0] - 2) : chosen[-1] + 3])
+            texts = {tuple(v[i : i + 3]) for v in map(license_scan.words, license_scan.BODIES.get(family, [])) for i in range(len(v) - 2)}
+            own = {tuple(part[i : i + 3]) for i in range(len(part) - 2)} & texts
+            if texts and len(own) >= min(12, len(texts)) and any(len(x) >= 9 for t in own for x in t):
+                ok = True
+            if ok:
+                found.append((family, start, lines[start]))
+    return found
+
+
+def test_licences_are_brute_force(spark, licences):
+    rnd = random.Random(3)
+    vocabulary = "mit license the under apache 2 bsd 3 gnu general public version gpl cc by nc 0 lesser isc mpl . \n \n\n software permission a of work is licensed".split(" ")
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 12))) for _ in range(500)] + [n.format(x) for n in license_scan.NOTICES for x in ("MIT", "CC0", "LGPLv3", "GPL-2.0", "BSD")]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [h.family for h in r.hits] for r in license_scan.scan_documents(rows, licences).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        want = plain_scan(licences, text or "")
+        some += bool(want)
+        assert set(got[i]) == {f for f, _, _ in want} and len(got[i]) <= len(want), text
+    assert some > 60
+
+
+def test_sparse_fit_is_dense_fit():
+    rnd = np.random.default_rng(2)
+    x = (rnd.random((60, 12)) < 0.3).astype(float)
+    x[5] = 0
+    y = rnd.integers(0, 3, 60)
+    sparse = logistic.Sparse([np.flatnonzero(r).tolist() for r in x], 12)
+    a, b = logistic.fit(x, y, 3, rounds=40), logistic.fit(sparse, y, 3, rounds=40)
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) and np.allclose(x @ a[0], sparse @ a[0])

@@ -1,12 +1,11 @@
 """From items that share keys to verified links and their components, without all pairs of a key's items as rows.
 
-crowded() finds the keys that several items hold: one count of the keys, which is combined before it is shuffled, and one
-join, of which Spark splits skewed partitions. classed() puts items of a key together only if their sizes allow a link.
-What is left of a key is compared in cells: of a key with up to BLOCK items there is one cell; the items of a hot key are
-dealt to blocks, and each two blocks are a cell, so that every two items meet in one cell and no task holds more than two
-blocks. In a cell pairs are compared as numbers in arrays and are never rows; only links leave it, and of these no more
-than join what is alike (spanning()). So a big group of copies costs little, and no pair that shares a key is left out
-unless its items are in one component already.
+crowded() finds the keys that several items hold, by one sort over ranges of keys and items. classed() puts items of a key
+together only if their sizes allow a link. What is left of a key is compared in cells: of a key with up to BLOCK items there
+is one cell; the items of a hot key are dealt to blocks, and each two blocks are a cell, so that every two items meet in one
+cell and no task holds more than two blocks. In a cell pairs are compared as numbers in arrays and are never rows; only links
+leave it, and of these no more than join what is alike (spanning()). So a big group of copies costs little, and no pair that
+shares a key is left out unless its items are in one component already.
 """
 
 from __future__ import annotations
@@ -58,9 +57,29 @@ def size_class(size: np.ndarray, like: float) -> np.ndarray:
 
 
 def crowded(held: DataFrame) -> DataFrame:
-    """The rows of held (key, item, ...; an item holds a key once) whose key another item holds too."""
-    many = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return held.join(many.hint("merge"), "key")
+    """The rows of held (key, item, ...; an item holds a key once) whose key another item holds too, and at most two more for
+    each partition, which counted() drops. The rows are sorted by ranges of key and item, so that a hot key is dealt to
+    several partitions, and a row stays if a neighbour has its key; the first and last rows of a partition stay."""
+    names = held.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, met = None, True  # the last row, and whether it stays whatever follows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if kept is not None:
+                columns = [pa.concat_arrays([kept.column(c), batch.column(c)]) for c in names]
+                batch = pa.RecordBatch.from_arrays(columns, names)
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            same = key[1:] == key[:-1]
+            stays = np.r_[met, same]
+            stays[:-1] |= same
+            kept, met = batch.slice(len(key) - 1), bool(stays[-1])
+            yield batch.slice(0, len(key) - 1).filter(pa.array(stays[:-1]))
+        if kept is not None:
+            yield kept
+
+    return held.repartitionByRange("key", "item").sortWithinPartitions("key", "item").mapInArrow(work, held.schema)
 
 
 def classed(rows: DataFrame, like: float) -> DataFrame:

@@ -165,15 +165,6 @@ def _paragraphs(rows: DataFrame, n: int, per: int) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, fp long, line int, a int, b int, ident binary, size int, keys array<long>, body string")
 
 
-def shingles(words: list[str], k: int = K) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
-
-
-def jaccard(a: set, b: set) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
-
-
 def _cell_links(rows: DataFrame, like: float) -> DataFrame:
     """The links (a, b) that join what is alike in each cell; rows are crowded rows with body."""
 
@@ -217,11 +208,11 @@ def repeated_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     n, per = bands(like)
     found = _paragraphs(docs.select("doc_id", _fingerprint(docs).alias("fp"), "text"), n, per)
     found = written(found.withColumn("rid", F.monotonically_increasing_id()))
-    groups = written(found.groupBy("ident").agg(F.min("rid").alias("item"), F.count("*").alias("n")))
-    items = written(found.join(groups.select(F.col("item").alias("rid")).hint("merge"), "rid").select(F.col("rid").alias("item"), F.col("size").cast("long").alias("size"), "keys"))
+    least = [F.min(F.col("keys")[j]).alias(f"k{j}") for j in range(n)]  # equal in all rows of an ident, as the size is
+    groups = written(found.groupBy("ident").agg(F.min("rid").alias("item"), F.count("*").alias("n"), F.min("size").cast("long").alias("size"), *least))
     release(spark)
-    crowd = written(counted(classed(crowded(items.select("item", "size", F.explode(F.array_distinct("keys")).alias("key"))), like)))
-    discard(items)
+    keys = F.array_distinct(F.array(*(f"k{j}" for j in range(n))))
+    crowd = written(counted(classed(crowded(groups.select("item", "size", F.explode(keys).alias("key"))), like)))
     release(spark)
     bodies = found.select(F.col("rid").alias("item"), "body")
     links = cut(_cell_links(crowd.join(only(bodies, crowd, "item").hint("merge"), "item"), like))

@@ -64,3 +64,23 @@ def test_only_loses_no_needed_row(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_BITS", 1 << 15)
     assert want <= {r.item for r in common.only(rows, needed, "item").collect()}
     assert common.only(rows, needed.limit(0), "item").count() == 0
+
+
+def test_crowded_loses_no_shared_key(spark):
+    rnd = np.random.default_rng(1)
+    held = [(int(rnd.integers(0, 4000)) if i % 3 else 7, i, 10) for i in range(6000)]
+    n = {}
+    for key, _, _ in held:
+        n[key] = n.get(key, 0) + 1
+    want = {(key, i) for key, i, _ in held if n[key] > 1}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.createDataFrame(held, "key long, item long, size int")
+    try:
+        for batch in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = [(r.key, r.item) for r in links.crowded(rows).collect()]
+            assert want <= set(got) and len(got) == len(set(got)) <= len(want) + 2 * 200
+            assert {(r.key, r.item) for r in links.counted(links.classed(links.crowded(rows), 0.8)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert links.crowded(rows.limit(0)).count() == 0

@@ -41,22 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While a table is made, few rows go to a Python worker at once: rows hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+def making(spark: SparkSession) -> Iterator[None]:
+    """While a table is made that is kept in the shared folder, few rows go to a Python worker at once, as rows hold whole
+    texts, and the shuffles that written() took are deleted as soon as the table is there. After cut() they wait for
+    release()."""
+    name, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, cleaned = spark.conf.get(name), spark.conf.get(clean)
     if int(before) <= 0 or int(before) > BATCH:
         spark.conf.set(name, str(BATCH))
+    spark.conf.set(clean, "true")
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        spark.conf.set(clean, cleaned)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    with small_batches(df.sparkSession):
+    with making(df.sparkSession):
         return df.checkpoint()
 
 
@@ -65,7 +69,7 @@ def written(df: DataFrame) -> DataFrame:
     columns. Spark writes a task's file under a name of the attempt, so that a lost task does no harm."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with making(spark):
         df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

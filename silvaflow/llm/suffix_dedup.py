@@ -6,8 +6,9 @@ judged on the input; matches never cross documents.
 1. Anchors: of the SEED-byte pieces in each string of LENGTH bytes, the one of least hash (the leftmost of equals) is its
    anchor. Equal strings have equal anchors at equal places, so that a string can only be repeated if its anchor's piece is
    in two documents. Successive strings mostly share their anchor, so that there are few anchors.
-2. Anchors whose piece is in one document only are dropped.
-3. For each anchor left, the bytes of the strings that have it form one context, the anchor at a fixed column. The contexts
+2. A string holds HALF bytes before its anchor's piece or more than HALF - 1 behind it, and so the piece with the SEED bytes
+   on that side. Strings whose 2 * SEED bytes are in one document only are dropped: tags of these bytes travel, not contexts.
+3. For each anchor, the bytes of the strings left that have it form one context, the anchor at a fixed column. The contexts
    that share a piece meet in one partition and are suffix-sorted column by column, from the last to the first: each round
    inserts one symbol of every context in front of its suffix. The symbols in the order of the suffixes are the collection's
    Burrows-Wheeler transform, and a stable sort of it gives the next order; common prefixes of neighbours are updated from
@@ -33,31 +34,34 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_bearing_hot, slices
+from .common import cut, join_bearing_hot, only, release, slices, written
 
 LENGTH, SEED = 50, 16
 MANY, SAMPLE = 1 << 18, 64
 SLICE, CHUNK = 1 << 21, 1 << 24
+#: Strings that begin so many bytes before their anchor, or more, are told by the left side, others by the right.
+HALF = (LENGTH - SEED + 1) // 2
+#: Tags and bytes of contexts that a task gathers before it packs them, so that blocks stay large when there are many.
+TAGS, GATHERED = 1 << 21, 1 << 25
 LAST = (1 << 63) - 1
 _BYTE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _runs(data: np.ndarray, valid: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(data: np.ndarray, valid: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
     """Of the strings of data that begin where valid (len(data) - length + 1 flags): for each run of successive ones with one
-    anchor the anchor's place and hash, and the first and last beginning."""
+    anchor the anchor's place and hash, the first and last beginning, and the hashes of the anchor's piece with as many bytes
+    before it, and behind it (of no meaning where no string of the run is told by that side)."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0 or not valid.any():
-        return none, none, none, none
+        return (none,) * 6
     h, have, base = _BYTE[data], 1, 0x9E3779B97F4A7C15
     while have * 2 <= seed:
         h = h[:-have] * np.uint64(pow(base, have, 1 << 64)) + h[have:]
         have *= 2
     if have != seed:
         raise ValueError("seed must be a power of two")
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    raw, h = h, _spread(h)
     width, low = length - seed + 1, np.uint64((1 << 26) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     have = 1
@@ -72,11 +76,22 @@ def _runs(data: np.ndarray, valid: np.ndarray, length: int, seed: int) -> tuple[
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(begins) != 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(begins)) - 1
-    return own[first], h[own[first]].view(np.int64), begins[first], begins[last]
+    a, factor, most = own[first], np.uint64(pow(base, seed, 1 << 64)), len(raw) - 1
+    left = _spread(raw[np.maximum(a - seed, 0)] * factor + raw[a])
+    right = _spread(raw[a] * factor + raw[np.minimum(a + seed, most)] ^ np.uint64(base))
+    return a, h[a].view(np.int64), begins[first], begins[last], left, right
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' bytes, and for each run: its text's index, the anchor's place, its hash, the first and last beginning."""
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """All texts' bytes, and for each run: its text's index, the anchor's place, its hash, the first and last beginning, and
+    the hashes of both sides."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(size)
@@ -89,10 +104,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple
         valid = np.cumsum(mark[: len(valid)]) > 0
     parts = []
     for p in range(0, len(valid), CHUNK):
-        a, h, f, t = _runs(data[p : p + CHUNK + length - 1], valid[p : p + CHUNK], length, seed)
-        parts.append((a + p, h, f + p, t + p))
-    a, h, f, t = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-    return data, np.searchsorted(ends, f, "right"), a, h, f, t
+        a, h, f, t, *sides = _runs(data[p : p + CHUNK + length - 1], valid[p : p + CHUNK], length, seed)
+        parts.append((a + p, h, f + p, t + p, *sides))
+    a, h, f, t, left, right = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    return data, np.searchsorted(ends, f, "right"), a, h, f, t, left, right
 
 
 def repeated(columns: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -145,7 +160,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, most=SLICE):
             doc = batch.column("doc").to_numpy()
             texts = [x or b"" for x in batch.column("text").to_pylist()]
-            _, of, _, h, _, _ = anchors(texts)
+            _, of, _, h, *_ = anchors(texts)
             keep = np.lexsort((h, of))
             of, h = of[keep], h[keep]
             new = np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
@@ -154,121 +169,182 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "h long, doc long")
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """Of h, doc those whose h is in two documents at least. Each partition holds all rows of its hs."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("h").to_numpy(), b.column("doc").to_numpy()) for b in batches]
-        if not parts:
-            return
-        h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if not len(first):
-            return
-        many = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), np.diff(np.append(first, len(h))))
-        h, doc = h[many].astype(np.int32), doc[many]  # a filter only: half of the hash is enough
-        for k in range(0, len(h), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 16)]), pa.array(doc[k : k + (1 << 16)])], ["h", "doc"])
-
-    return found.repartition("h").mapInArrow(work, "h int, doc long")
-
-
-#: Contexts travel in blocks, one for each batch of texts and each share of the hashes: columns one after another, compressed.
-#: There are SHARES shares for each shuffle partition, so that partitions grow as small as the cluster is told to make them.
-SHARES = 4
+#: Tags and contexts travel in blocks, one for each share of the hashes and each so many of a task: columns one after another,
+#: byte by byte, compressed. There are SHARES shares for each shuffle partition, so that partitions grow as small as the
+#: cluster is told to make them. Contexts of the pieces in very many documents are in blocks of bucket OFTEN.
+SHARES, OFTEN = 4, -1
 BLOCK = "bucket int, block binary"
-WIDTHS = (np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
+TAG, CONTEXT = (np.int64, np.uint32), (np.int64, np.int64, np.int32, np.uint8, np.uint8)
 
 
-def pack(columns: tuple[np.ndarray, ...], context: bytes) -> bytes:
-    """h, doc, fp, start, low and size of contexts, and their bytes, as one compressed block."""
-    raw = len(columns[0]).to_bytes(4, "little") + b"".join(c.astype(t).tobytes() for c, t in zip(columns, WIDTHS, strict=True)) + context
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def pack(columns: list[np.ndarray], kinds: tuple, rest: bytes = b"") -> bytes:
+    """Columns, of which the first is mostly in order, and more bytes as one compressed block."""
+    parts = [len(columns[0]).to_bytes(4, "little")]
+    for k, (c, t) in enumerate(zip(columns, kinds, strict=True)):
+        c = np.ascontiguousarray(np.diff(c, prepend=0) if k == 0 else c, t)
+        parts.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts) + rest)
 
 
-def unpack(block: bytes) -> tuple[list[np.ndarray], bytes]:
+def unpack(block: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    for t in WIDTHS:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
+    for k, t in enumerate(kinds):
+        wide = np.dtype(t).itemsize
+        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(t).ravel()
+        out.append(np.cumsum(c) if k == 0 else c)
+        at += n * wide
     return out, raw[at:]
 
 
-def _contexts(rows: DataFrame, shares: int) -> DataFrame:
-    """From doc, fp, text, hs: for each run of strings with an anchor among hs its bytes, where they begin in the text, and
-    in which column of the matrix (the anchor lies in column LENGTH - SEED)."""
+def _shares_of(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each bucket and its places, in order."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16 else bucket, kind="stable")
+    held, edges = np.unique(bucket[order], return_index=True)
+    return list(zip(held.tolist(), np.split(order, edges[1:]), strict=True)) if len(held) else []
+
+
+def _sides(a: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether runs have strings told by the left side, and by the right."""
+    return first <= a - HALF, last > a - HALF
+
+
+def _tag(side: np.ndarray) -> np.ndarray:
+    return (side >> np.uint64(32)).astype(np.uint32)
+
+
+def _tagged(docs: DataFrame, shares: int, often: list[int]) -> DataFrame:
+    """Blocks of doc, tag: of each side that tells a string of a document, but for the pieces often."""
+    apart = np.array(sorted(often), np.int64)
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        doc, side = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(doc, kind="stable")
+        doc, side = doc[order], side[order]
+        tag, found = _tag(side), _shares_of((side & np.uint64(0xFFFFFFFF)).astype(np.int64) % shares)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([pack([doc[p], tag[p]], TAG) for _, p in found], pa.binary())], ["bucket", "block"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in slices(batches, most=SLICE):
+            doc = batch.column("doc").to_numpy()
+            _, of, a, h, first, last, left, right = anchors([x or b"" for x in batch.column("text").to_pylist()])
+            some = np.stack(_sides(a, first, last), 1)
+            if len(apart):
+                some &= ~np.isin(h, apart)[:, None]
+            some = some.ravel()
+            parts.append((doc[np.repeat(of, 2)[some]], np.stack([left, right], 1).ravel()[some]))
+            n += len(parts[-1][0])
+            if n >= TAGS:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
+
+    return docs.mapInArrow(work, BLOCK)
+
+
+def _shared(tagged: DataFrame) -> DataFrame:
+    """Of blocks of doc, tag those rows whose tag is in two documents at least. Each partition holds all rows of its tags."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                blocks.setdefault(k, []).append(block)
+        for k in list(blocks):
+            doc, tag = (np.concatenate(x) for x in zip(*(unpack(b, TAG)[0] for b in blocks.pop(k)), strict=True))
+            order = np.argsort(tag, kind="stable")
+            doc, tag = doc[order], tag[order]
+            first = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
+            many = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), np.diff(np.append(first, len(tag))))
+            tag, doc = tag[many].view(np.int32), doc[many]  # a filter only: half of the hash is enough
+            for k in range(0, len(tag), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(tag[k : k + (1 << 16)]), pa.array(doc[k : k + (1 << 16)])], ["tag", "doc"])
+
+    return tagged.repartition("bucket").mapInArrow(work, "tag int, doc long")
+
+
+def _contexts(rows: DataFrame, shares: int, often: list[int]) -> DataFrame:
+    """From doc, fp, text, tags: for each run the bytes of its strings whose side is among tags (of all, if its piece is among
+    often), where they begin in the text, and in which column of the matrix (the anchor lies in column LENGTH - SEED)."""
+    apart = np.array(sorted(often), np.int64)
+
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        *columns, context = zip(*parts, strict=True)
+        bucket, *columns = (np.concatenate(x) for x in columns)
+        context = [x for part in context for x in part]
+        found = _shares_of(bucket)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([pack([c[p] for c in columns], CONTEXT, b"".join(map(context.__getitem__, p.tolist()))) for _, p in found], pa.binary())], ["bucket", "block"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for batch in slices(batches, most=SLICE):
             doc, fp = batch.column("doc").to_numpy(), batch.column("fp").to_numpy()
             texts = [x or b"" for x in batch.column("text").to_pylist()]
-            data, of, a, h, first, last = anchors(texts)
+            data, of, a, h, first, last, left, right = anchors(texts)
             begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            lists = batch.column("hs")
+            lists = batch.column("tags")
             size = np.diff(lists.offsets.to_numpy())
-            hs, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(texts)), size)
-            wanted = np.unique(hs.astype(np.int64) & 0xFFFFFFFF | owner << 32)
-            mine = h & 0xFFFFFFFF | of << 32  # a chance hit only adds a context that no other shares
-            at = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
-            keep = np.flatnonzero(wanted[at] == mine) if len(wanted) else np.zeros(0, np.int64)
-            of, a, h, first, last = of[keep], a[keep], h[keep], first[keep], last[keep]
+            tags, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(texts)), size)
+            wanted = np.unique(tags.astype(np.int64) & 0xFFFFFFFF | owner << 32)
+
+            def among(side: np.ndarray) -> np.ndarray:
+                mine = _tag(side).astype(np.int64) | of << 32  # a chance hit only adds a context that no other shares
+                at = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
+                return wanted[at] == mine if len(wanted) else np.zeros(len(mine), bool)
+
+            hot = np.isin(h, apart) if len(apart) else np.zeros(len(h), bool)
+            by_left, by_right = (x & (among(side) | hot) for x, side in zip(_sides(a, first, last), (left, right), strict=True))
+            first = np.where(by_left, first, np.maximum(first, a - HALF + 1))
+            last = np.where(by_right, last, np.minimum(last, a - HALF))
+            keep = np.flatnonzero(by_left | by_right)
+            of, a, h, first, last, hot = of[keep], a[keep], h[keep], first[keep], last[keep], hot[keep]
             raw = data.tobytes()
-            bucket = h % shares
-            order = np.argsort(bucket, kind="stable")
-            held, edges = np.unique(bucket[order], return_index=True)
-            names, blocks = held.tolist(), []
-            for p in np.split(order, edges[1:]):
-                if len(p):
-                    size = last[p] + LENGTH - first[p]
-                    columns = (h[p], doc[of[p]], fp[of[p]], first[p] - begin[of[p]], LENGTH - SEED - (a[p] - first[p]), size)
-                    blocks.append(pack(columns, b"".join(raw[x:y] for x, y in zip(first[p].tolist(), (last[p] + LENGTH).tolist(), strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            context = [raw[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
+            columns = (doc[of], fp[of], first - begin[of], LENGTH - SEED - (a - first), last + LENGTH - first)
+            parts.append((np.where(hot, OFTEN, h % shares), *columns, context))
+            n += int(columns[-1].sum()) + 100 * len(keep)
+            if n >= GATHERED:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
 
     return rows.mapInArrow(work, BLOCK)
 
 
-def _by_string(blocks: DataFrame, often: list[int]) -> DataFrame:
-    """The contexts of the pieces often, as rows."""
-    wanted = np.array(sorted(often), np.int64)
+def _by_string(blocks: DataFrame) -> DataFrame:
+    """The contexts of the pieces in very many documents, as rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                (h, doc, fp, start, _, size), raw = unpack(block)
+                (doc, fp, start, _, size), raw = unpack(block, CONTEXT)
                 end = np.cumsum(size.astype(np.int64))
-                p = np.flatnonzero(np.isin(h, wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(fp[p]), pa.array(start[p].astype(np.int64)), pa.array([raw[e - z : e] for e, z in zip(end[p].tolist(), size[p].tolist(), strict=True)], pa.binary())], ["doc", "fp", "start", "context"])
+                contexts = [raw[e - z : e] for e, z in zip(end.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fp), pa.array(start.astype(np.int64)), pa.array(contexts, pa.binary())], ["doc", "fp", "start", "context"])
 
-    return blocks.mapInArrow(work, "doc long, fp long, start long, context binary")
+    return blocks.filter(F.col("bucket") == OFTEN).mapInArrow(work, "doc long, fp long, start long, context binary")
 
 
 REMOVED = "doc long, fp long, start long, stop long"
 
 
-def _stretches(blocks: DataFrame, often: list[int]) -> DataFrame:
-    """The stretches to remove, but for the pieces often. Each partition holds all contexts of its buckets."""
+def _stretches(blocks: DataFrame) -> DataFrame:
+    """The stretches to remove, but for the pieces in very many documents. Each partition holds all contexts of its buckets."""
     width = 2 * LENGTH - SEED
-    apart = np.array(sorted(often), np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bytes_of = [], []
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                columns, raw = unpack(block)
-                if len(apart) and (out := np.isin(columns[0], apart)).any():
-                    end = np.cumsum(columns[5].astype(np.int64))
-                    keep = np.flatnonzero(~out)
-                    raw = b"".join(raw[e - z : e] for e, z in zip(end[keep].tolist(), columns[5][keep].tolist(), strict=True))
-                    columns = [c[keep] for c in columns]
+                columns, raw = unpack(block, CONTEXT)
                 parts.append(columns)
                 bytes_of.append(raw)
         if not sum(len(x[0]) for x in parts):
             return
-        _, doc, fp, start, low, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, fp, start, low, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         data = np.frombuffer(b"".join(bytes_of), np.uint8)
         del parts, bytes_of
         start, low, size = start.astype(np.int64), low.astype(np.int64), size.astype(np.int64)
@@ -290,7 +366,7 @@ def _stretches(blocks: DataFrame, often: list[int]) -> DataFrame:
             p = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(x[p]) for x in (doc[row], fp[row], begin, stop)], ["doc", "fp", "start", "stop"])
 
-    return blocks.repartition("bucket").mapInArrow(work, REMOVED)
+    return blocks.filter(F.col("bucket") != OFTEN).repartition("bucket").mapInArrow(work, REMOVED)
 
 
 def _stretches_by_string(contexts: DataFrame) -> DataFrame:
@@ -303,14 +379,16 @@ def _stretches_by_string(contexts: DataFrame) -> DataFrame:
 
 
 def _finished(rows: DataFrame) -> DataFrame:
-    """From doc_id, doc, fp, text, cuts: each document with its stretches to remove, joined, and the bytes that stay."""
+    """From doc_id, fp, whole (whether all goes), text, cuts: each document with its stretches to remove, joined, and the bytes
+    that stay."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             spans, kept = [], []
-            for doc, fp, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc", "fp", "text", "cuts")), strict=True):
+            for fp, whole, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("fp", "whole", "text", "cuts")), strict=True):
                 text, joined, rest, at = text or b"", [], [], 0
-                for s, e in sorted((c["start"], c["stop"]) for c in cuts or () if c["doc"] == doc and c["fp"] == fp):
+                own = [(0, len(text))] if whole else sorted((c["start"], c["stop"]) for c in cuts or () if c["fp"] == fp)
+                for s, e in own:
                     if joined and s <= joined[-1][1]:
                         joined[-1][1] = max(joined[-1][1], e)
                     else:
@@ -330,31 +408,36 @@ def _finished(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, spans ([begin, end) of the removed runs, in bytes) and kept (the bytes that stay)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", _doc_key().alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    rows = read = docs.select("doc_id", _doc_key().alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
     # a document whose whole text is that of a smaller doc_id goes whole, and adds nothing to what others lose
-    marks = rows.select("doc", F.sha2("text", 256).alias("sha"), "fp").distinct()
+    marks = written(rows.select("doc", F.unhex(F.sha2("text", 256)).alias("sha"), "fp").distinct())
     least = marks.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1")
     copies = cut(join_bearing_hot(marks, cut(least), ["sha"]).filter("doc > least").select("doc", "fp"))
+    # fp only tells rows apart that share a doc_id; others go without it
+    told = marks.select("doc", F.lit(None).cast("long").alias("gone")).unionByName(copies.select("doc", F.col("fp").alias("gone")))
+    told = told.groupBy("doc").agg(F.collect_set("gone").alias("gone"), (F.count_if(F.col("gone").isNull()) > 1).alias("several"))
+    told = written(told.filter("several or size(gone) > 0"))
+    alone = marks.join(copies, ["doc", "fp"], "left_anti").select("doc")
     # every use of the texts has the same columns and the same key, so that they are shuffled once
-    gone = copies.groupBy("doc").agg(F.collect_set("fp").alias("gone"))
-    own = rows.join(gone.hint("merge"), "doc", "left").filter(~F.coalesce(F.array_contains("gone", F.col("fp")), F.lit(False))).select("doc_id", "doc", "fp", "text")
-    found = _anchored(own)
+    rows = rows.join(told.hint("merge"), "doc", "left")
+    whole = F.coalesce(F.array_contains("gone", F.col("fp")), F.lit(False)).alias("whole")
+    rows = rows.select("doc_id", "doc", F.when(F.col("several"), F.col("fp")).otherwise(0).alias("fp"), whole, "text")
+    own = rows.filter(~F.col("whole"))
     # pieces in very many documents, by a sample of documents: known to be shared, and grouped by string later on
-    some = _anchored(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
+    some = _anchored(read.select("doc", "text").filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
     often = [r.h for r in some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > many).orderBy(F.desc("n")).limit(4096).collect()]
-    if often:
-        shared = _shared(found.filter(~F.col("h").isin(often))).unionByName(found.filter(F.col("h").isin(often)).select(F.col("h").bitwiseAND(0xFFFFFFFF).cast("long").alias("h"), "doc").select(F.when(F.col("h") > 0x7FFFFFFF, F.col("h") - (1 << 32)).otherwise(F.col("h")).cast("int").alias("h"), "doc"))
-    else:
-        shared = _shared(found)
-    hs = shared.groupBy("doc").agg(F.collect_list("h").alias("hs"))
     shares = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _contexts(own.join(hs.hint("merge"), "doc"), shares)
-    cuts = _stretches(blocks, often)
+    # tags are taken where the texts lie; of whole copies most are left out, and those that aren't only add tags. What is shared
+    # is written, so that the shuffles of tags are deleted before contexts travel
+    tags = written(_shared(_tagged(only(read.select("doc", "text"), alone, "doc"), shares, often)).groupBy("doc").agg(F.collect_list("tag").alias("tags")))
+    release(docs.sparkSession)
+    held = own.join(tags.hint("merge"), "doc", "left" if often else "inner").withColumn("tags", F.coalesce("tags", F.array().cast("array<int>")))
+    blocks = _contexts(held, shares, often)
+    cuts = _stretches(blocks)
     if often:
-        cuts = cuts.unionByName(_stretches_by_string(_by_string(blocks, often)))
-    cuts = cuts.unionByName(copies.join(rows.select("doc", "fp", F.octet_length("text").alias("n")), ["doc", "fp"]).filter(F.col("n") >= LENGTH).select("doc", "fp", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")).distinct())
-    cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("doc", "fp", "start", "stop")).alias("cuts"))
-    return _finished(rows.join(cuts.hint("merge"), "doc", "left").select("doc_id", "doc", "fp", "text", "cuts"))
+        cuts = cuts.unionByName(_stretches_by_string(_by_string(blocks)))
+    cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "stop")).alias("cuts"))
+    return _finished(rows.join(cuts.hint("merge"), "doc", "left").select("doc_id", "fp", F.expr(f"whole and octet_length(text) >= {LENGTH}").alias("whole"), "text", "cuts"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,17 +212,20 @@ def repeated_paragraphs(docs: DataFrame, like: float = LIKE) -> DataFrame:
     least = [F.min(F.col("keys")[j]).alias(f"k{j}") for j in range(n)]  # equal in all rows of an ident, as the size is
     groups = written(found.groupBy("ident").agg(F.min("rid").alias("item"), F.count("*").alias("n"), F.min("size").cast("long").alias("size"), *least))
     release(spark)
-    keys = F.array_distinct(F.array(*(f"k{j}" for j in range(n))))
-    crowd = written(counted(classed(crowded(groups.select("item", "size", F.explode(keys).alias("key"))), like)))
+    # a band at a time, so that no more than one band's keys are shuffled at once
+    each = [written(crowded(groups.select("item", "size", F.col(f"k{j}").alias("key")))) for j in range(n)]
+    crowd = written(counted(classed(reduce(DataFrame.unionByName, each), like)))
+    discard(*each)
     release(spark)
     bodies = found.select(F.col("rid").alias("item"), "body")
     links = cut(_cell_links(crowd.join(only(bodies, crowd, "item").hint("merge"), "item"), like))
     discard(crowd)
     release(spark)
     roots = cut(components(links))
-    known = groups.join(roots.hint("merge"), "item", "left").filter("n > 1 or root is not null").select("ident", F.coalesce("root", "item").alias("class_id"))
+    known = written(groups.select("item", "ident", "n").join(roots.hint("merge"), "item", "left").filter("n > 1 or root is not null").select("ident", F.coalesce("root", "item").alias("class_id")))
+    discard(groups)
     spots = cut(found.select("doc_id", "fp", "line", "a", "b", "ident").join(known.hint("merge"), "ident").drop("ident"))
-    discard(found, groups)
+    discard(found, known)
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "a", "fp")
     first = spots.groupBy("class_id").agg(F.min(spot).alias("keep"))
     goes = ~(F.equal_null("doc_id", "keep.doc_id") & (F.col("line") == F.col("keep.line")) & (F.col("a") == F.col("keep.a")) & (F.col("fp") == F.col("keep.fp")))

@@ -10,7 +10,8 @@ words with any one left out, which miss no pair.
 
 Texts with equal words are one item from the start, whatever their number. Items that share a key are candidates:
 1. each is paired with the smallest item of its key (one row for each item and key at most);
-2. bags(), counts of words in BINS bins, give a lower bound of the edit distance, which drops nearly all that aren't alike;
+2. bags(), counts of words in as many bins as bins_of() gives the text, give a lower bound of the edit distance, which drops
+   nearly all that aren't alike, long texts as well as short ones;
 3. the edit distance of their words, by alignment in a band of diagonals, is at most 1 - LIKE of the longer one's words;
 4. the keys whose items are in several components still are compared in cells (see links.py): by bags first, and those rows
    of a cell that may be alike by alignment. No pair that shares a key is left out.
@@ -42,8 +43,8 @@ K, LIKE, RECALL, PICKED = 2, 0.8, 0.999, 2
 SLICE = 1 << 20
 #: As many texts at most follow one copy of their leader's.
 TOGETHER = 256
-#: Bins of a bag of words, as stored and as made for the rows of one cell.
-BINS, MANY_BINS = 512, 4096
+#: Bins of a bag of words (powers of two): least and most as stored, and as made for the rows of one cell.
+LEAST_BINS, MOST_BINS, MANY_BINS = 512, 8192, 4096
 FAR = np.uint64((1 << 64) - 1)
 SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) for i in range(1, 65)], np.uint64)
 
@@ -158,6 +159,24 @@ def bags(ids: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def bins_of(sizes: np.ndarray) -> np.ndarray:
+    """The bins of the bags of texts by their numbers of words: half as many or more. Where many words share a bin, unlike
+    texts have like bags."""
+    half = np.clip(-(-sizes // 2), LEAST_BINS, MOST_BINS)
+    return 1 << np.ceil(np.log2(half)).astype(np.int64)
+
+
+def folded(column: list[bytes], bins: int) -> np.ndarray:
+    """Stored bags, each of bins bins or more, as bags of bins bins. Both are powers of two, and a bin is a remainder."""
+    width = np.fromiter(map(len, column), np.int64, len(column))
+    out = np.zeros((len(column), bins), np.uint8)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        x = np.frombuffer(b"".join([column[i] for i in own.tolist()]), np.uint8).reshape(len(own), w // bins, bins)
+        out[own] = x[:, 0] if w == bins else np.minimum(x.sum(axis=1, dtype=np.uint16), 255)
+    return out
+
+
 def at_least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A lower bound of the edit distance of texts, from their bags (one or many, in the last axis): the words that the one
     text has and the other has not. Bins and cut counts only make it less."""
@@ -255,7 +274,10 @@ def _sketched(docs: DataFrame, like: float) -> DataFrame:
             some = np.concatenate([np.arange(every.shape[1] - last.shape[1]) < n[:, None], np.arange(last.shape[1]) < extra[:, None]], axis=1)
             ends = pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]), pa.int32())
             keys = pa.ListArray.from_arrays(ends, pa.array(every[some].view(np.int64)))
-            bag = [x.tobytes() for x in bags(ids, size, BINS)]
+            width = bins_of(size)
+            bag = np.empty(len(rows), object)
+            for w in np.unique(width).tolist():
+                bag[width == w] = [x.tobytes() for x in bags(ids[np.repeat(width == w, size)], size[width == w], w)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fps, pa.binary()), pa.array(size), pa.array(bag, pa.binary()), keys], ["row", "fp", "n_words", "bag", "keys"])
 
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
@@ -263,17 +285,18 @@ def _sketched(docs: DataFrame, like: float) -> DataFrame:
     return docs.select(row, docs["text"]).mapInArrow(work, f"row {kind}, fp binary, n_words long, bag binary, keys array<long>")
 
 
-def _bag(column: list[bytes] | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.uint8).reshape(-1, BINS)
-
-
 def _maybe(pairs: DataFrame, items: DataFrame, like: float) -> DataFrame:
     """Of pairs (a, b) those that sizes and bags don't tell apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            least = at_least(_bag(batch.column("bag_a")), _bag(batch.column("bag_b")))
+            of_a, of_b = (batch.column(c).to_pylist() for c in ("bag_a", "bag_b"))
+            width = np.fromiter(map(min, map(len, of_a), map(len, of_b)), np.int64, len(a))
+            least = np.zeros(len(a), np.int64)
+            for w in np.unique(width).tolist():
+                own = np.flatnonzero(width == w)
+                least[own] = at_least(*(folded([column[i] for i in own.tolist()], w) for column in (of_a, of_b)))
             yield batch.select(["a", "b"]).filter(pa.array((least <= edits(np.maximum(a, b), like)) & (np.abs(a - b) <= edits(np.maximum(a, b), like))))
 
     plain_pairs = pairs
@@ -314,7 +337,7 @@ def _flagged(live: DataFrame, like: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in each_cell(batches):
-            size, bag, labels = cell["size"], _bag(cell["bag"]), cell["root"]
+            size, bag, labels = cell["size"], folded(cell["bag"], min(map(len, cell["bag"]))), cell["root"]
             some = np.zeros(len(size), bool)
             for x in range(len(size) - 1):
                 y = partners(cell, labels, x)
@@ -360,8 +383,10 @@ def _roots(rows: DataFrame, items: DataFrame, like: float) -> DataFrame:
     crowd = written(counted(classed(crowded(held.select("item", F.col("n_words").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))), like)))
     discard(held)
     release(spark)
-    led = crowd.groupBy("key", "class").agg(F.min("item").alias("a"))
-    pairs = cut(crowd.join(led.hint("merge"), ["key", "class"]).filter("a != item").select("a", F.col("item").alias("b")).distinct())
+    led = crowd.groupBy("key", "class").agg(F.min(F.struct("item", "size")).alias("a"))
+    larger = F.greatest("a.size", "size")
+    fits = F.abs(F.col("a.size") - F.col("size")) <= F.floor(F.lit(1 - like) * larger + F.lit(1e-9))  # as edits() has it
+    pairs = cut(crowd.join(led.hint("merge"), ["key", "class"]).filter(fits & (F.col("a.item") != F.col("item"))).select(F.col("a.item").alias("a"), F.col("item").alias("b")).distinct())
     links = cut(_verified(cut(_maybe(pairs, bag, like)), texts, like))
     release(spark)
     roots = cut(components(links))

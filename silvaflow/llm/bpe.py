@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, trimmed
 from .pretokens import Memo, byte_level_spans, distinct
 
 FAR = np.int64(1) << np.int64(62)
 PLACE = 24  # bits of a leaf that hold its place, among many trees
-PIECE_BYTES = 1 << 20  # texts are worked on in groups of about so many bytes
+PIECE_BYTES = 1 << 19  # texts are worked on in groups of about so many bytes
+KNOWN = 75_000  # pre-tokens of each generation of a task's memo
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -212,8 +213,9 @@ def encode_texts(texts: list[str], path: str, memo: Memo | None = None) -> list[
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary: UTF-8) of each row of docs."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memo = vocabulary(path), Memo()
+        bpe, memo = vocabulary(path), Memo(KNOWN)
         for batch in slices(batches, most=PIECE_BYTES):
             ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path, memo)
             decoded = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
@@ -226,8 +228,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; only digests leave the worker."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memo = vocabulary(path), Memo()
+        bpe, memo = vocabulary(path), Memo(KNOWN)
         for batch in slices(batches, most=PIECE_BYTES):
             ids = encode_texts([x or "" for x in batch.column("text").to_pylist()], path, memo)
             decoded = (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -127,6 +129,26 @@ def only(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
     return met.filter(byte.bitwiseAND(power) != 0).select(*rows.columns)
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    """What gives the free memory of the C library back to the system, where it has that."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work of a Python worker, whose memory goes back to the system when the task is over: workers stay, idle or for other
+    tasks, beside all later stages of their executor."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := _malloc_trim():
+            trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces whose texts hold at most so many bytes, a longer text alone."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, trimmed
 
 #: Items of a block.
 BLOCK = 4096
@@ -62,6 +62,7 @@ def crowded(held: DataFrame) -> DataFrame:
     several partitions, and a row stays if a neighbour has its key; the first and last rows of a partition stay."""
     names = held.columns
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, met = None, True  # the last row, and whether it stays whatever follows
         for batch in batches:

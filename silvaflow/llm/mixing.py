@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import logistic
-from .common import cut, slices
+from .common import cut, slices, trimmed
 
 DOMAINS = ["clean", "poor", "toxic"]
 TARGETS = {"clean": 0.98, "poor": 0.02, "toxic": 0.0}
@@ -133,6 +133,7 @@ def _chance(docs: DataFrame) -> Column:
 def _posteriors(docs: DataFrame, model: Domains | None) -> DataFrame:
     """doc_id, chance, n_tokens and the posteriors p_<domain>."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             n, p = _judge(model, [x or "" for x in batch.column("text").to_pylist()])
@@ -165,6 +166,7 @@ class Rates:
 def _totals(posteriors: DataFrame, rates: Rates, ahead: bool) -> np.ndarray:
     """The tokens of each domain at the rates (or at the points ahead of them); one row leaves each task."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(rates.names))
         for batch in batches:
@@ -210,6 +212,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     posteriors = cut(_posteriors(docs, trained(docs, labels)))
     rates = fitted(posteriors, targets, most=most)
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = rates.state(rates.of(batch))[0]
@@ -226,6 +229,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = trained(docs, labels)
     rates = fitted(cut(_posteriors(docs, model)), targets, most=most)
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             _, p = _judge(model, [x or "" for x in batch.column("text").to_pylist()])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, only, release, slices, written
+from .common import cut, discard, only, release, slices, trimmed, written
 from .links import CELL, cells, classed, components, counted, crowded, each_cell, partners, spanning
 from .pretokens import plain
 
@@ -253,6 +253,7 @@ def _sketched(docs: DataFrame, like: float) -> DataFrame:
     short text)."""
     wanted = sketch_counts(like)
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Ids()
         for batch in slices(batches, most=SLICE):
@@ -288,6 +289,7 @@ def _sketched(docs: DataFrame, like: float) -> DataFrame:
 def _maybe(pairs: DataFrame, items: DataFrame, like: float) -> DataFrame:
     """Of pairs (a, b) those that sizes and bags don't tell apart."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
@@ -310,6 +312,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: float) -> DataFrame:
     """Of pairs (a, b) of items, those whose texts (item, text) are alike. The text of a comes once, followed by those of its
     bs, in one partition; an a with many bs comes once for every TOGETHER of them, in as many partitions."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[str] = []
         for batch in batches:
@@ -335,6 +338,7 @@ LIVE = "key long, class int, i int, j int, side int, item long, size long, root
 def _flagged(live: DataFrame, like: float) -> DataFrame:
     """The rows of cells that have a partner there which sizes and bags don't tell apart."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in each_cell(batches):
             size, bag, labels = cell["size"], folded(cell["bag"], min(map(len, cell["bag"]))), cell["root"]
@@ -355,6 +359,7 @@ def _flagged(live: DataFrame, like: float) -> DataFrame:
 def _cell_links(rows: DataFrame, like: float) -> DataFrame:
     """The links (a, b) that join what is alike in each cell; rows as _flagged() gives them, with text."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Ids()
         for cell in each_cell(batches):

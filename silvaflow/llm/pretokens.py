@@ -117,16 +117,36 @@ def byte_level_spans(texts: list[str], special: str) -> tuple[str, np.ndarray, n
     return joined, cp, starts, ends, first
 
 
+#: Two odd numbers, each with its inverse modulo 2^64.
+BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+#: Powers are kept up to 2^LOW; those beyond are products of two, made anew for each array, so that a worker holds no table
+#: as long as its longest text.
+LOW = 16
+
+
+def _accumulated(base: int, n: int) -> np.ndarray:
+    step = np.full(n, base, np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
+
+
 @cache
-def _powers(n: int) -> tuple[np.ndarray, ...]:
-    """Of two odd numbers, the powers and the inverse powers modulo 2^64."""
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        for b in (base, pow(base, -1, 1 << 64)):
-            step = np.full(n, b, np.uint64)
-            step[0] = 1
-            out.append(np.multiply.accumulate(step))
-    return tuple(out)
+def _low_powers(base: int) -> np.ndarray:
+    return _accumulated(base, 1 << LOW)
+
+
+def _times_powers(x: np.ndarray, base: int, at: np.ndarray | None = None) -> np.ndarray:
+    """x times the powers of base modulo 2^64 whose exponents are at, or the places of x."""
+    n = len(x) if at is None else int(at.max(initial=0)) + 1
+    low, high = _low_powers(base), _accumulated(pow(base, 1 << LOW, 1 << 64), (n >> LOW) + 1)
+    if at is not None:
+        return x * low[at & ((1 << LOW) - 1)] * high[at >> LOW]
+    out = x.copy()
+    for k, h in enumerate(high.tolist()):
+        part = out[k << LOW : (k + 1) << LOW]
+        part *= low[: len(part)]
+        part *= np.uint64(h)
+    return out
 
 
 def _mix(cp: np.ndarray) -> np.ndarray:
@@ -143,14 +163,12 @@ SIMPLE = 64
 
 def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each span of cp, equal for equal contents wherever they lie."""
-    size = 1 << max(16, int(len(cp)).bit_length())
-    p1, q1, p2, q2 = _powers(size)
     x = _mix(cp)
     out = []
-    for p, q in ((p1, q1), (p2, q2)):
+    for base, inverse in BASES:
         s = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(x * p[: len(cp)], out=s[1:])
-        h = (s[ends] - s[starts]) * q[starts]
+        np.cumsum(_times_powers(x, base), out=s[1:])
+        h = _times_powers(s[ends] - s[starts], inverse, starts)
         h ^= h >> np.uint64(31)
         out.append(h * np.uint64(0x94D049BB133111EB))
     for i in np.flatnonzero(ends - starts > SIMPLE).tolist():

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, trimmed
 from .pretokens import code_points, span_hashes
 
 WHITE, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
@@ -40,7 +40,7 @@ COVER, STILL, STEPS, LEAST, MANY_GROUPS = 0.75, 1e-3, 30, 50, 4096
 FLOOR = {"x_words": 1.0, "x_length": 0.1, "x_symbols": 0.04, "x_lines": 0.08, "x_repeat": 0.2}
 CUTOFF_P = 1 - 1e-7
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def text_statistics(texts: list[str]) -> dict[str, np.ndarray]:
@@ -86,6 +86,7 @@ def text_statistics(texts: list[str]) -> dict[str, np.ndarray]:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base statistics of each row of docs."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             found = text_statistics([x or "" for x in batch.column("text").to_pylist()])
